@@ -230,7 +230,7 @@ SELECT 'fred:gdp', CAST(date_trunc('quarter', l_shipdate) AS DATE), CAST(sum(CAS
 FROM lineitem GROUP BY date_trunc('quarter', l_shipdate)
 """
 
-_NAME = re.compile(r"\bsi_[a-z_]+\b")
+_NAME = re.compile(r"\b(?:si|ox)_[a-z_0-9]+\b")
 
 
 def _closure(text: str, seen: list[str]) -> None:
