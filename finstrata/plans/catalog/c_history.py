@@ -127,15 +127,11 @@ def joined(u):
 
 def monthly(u):
     """The monthly rows with multiples, once per universe."""
-    if "_monthly" not in u.__dict__:
-        u.__dict__["_monthly"] = h.multiples(joined(u))
-    return u.__dict__["_monthly"]
+    return u.shared("monthly", lambda: h.multiples(joined(u)))
 
 
 def stats(u):
-    if "_stats" not in u.__dict__:
-        u.__dict__["_stats"] = h.window_stats(monthly(u), YEARS)
-    return u.__dict__["_stats"]
+    return u.shared("stats", lambda: h.window_stats(monthly(u), YEARS))
 
 
 def latest_ranges(u):

@@ -8,7 +8,9 @@ which doubles add exactly in any order.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -254,8 +256,15 @@ def with_relations(sql: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Universe:
-    """The relations over one data folder, each built when first asked for."""
+    """The relations over one data folder, each built when first asked for.
+
+    A relation is persisted (memory, then disk) so the queries of one session share one computation of
+    it; a lost executor's part is recomputed from the tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -265,8 +274,9 @@ class Universe:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def relation(self, name: str) -> DataFrame:
-        sql = with_relations(f"SELECT * FROM {name}").replace('"end"', "`end`")
-        used = {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+        sql = RELATIONS[name].replace('"end"', "`end`")
+        used = {t: self.table(t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+        used |= {n: getattr(self, n[3:]) for n in dict.fromkeys(_NAME.findall(sql))}
         for t in used:
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
         return self.spark.sql(sql, **used)
@@ -274,6 +284,18 @@ class Universe:
     def __getattr__(self, name: str) -> DataFrame:
         if f"si_{name}" not in RELATIONS:
             raise AttributeError(name)
-        df = self.relation(f"si_{name}")
-        self.__dict__[name] = df
-        return df
+        return self.shared(f"si_{name}", lambda: self.relation(f"si_{name}"))
+
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """*build*'s result, persisted once per application and data folder."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _SHARED:
+            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return _SHARED[key]
+
+
+def release_shared() -> None:
+    """Drops every shared relation, so that the next query computes its inputs again."""
+    for df in _SHARED.values():
+        df.unpersist()
+    _SHARED.clear()
