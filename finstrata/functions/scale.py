@@ -43,20 +43,26 @@ def _cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> Data
             .select(*g, value, "__n", (F.col("__before") + F.col("__in")).alias("__le"), "__total"))
 
 
+def _keyed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """*df* with its key columns renamed ``__k0 ..`` so that it joins back to its own source unambiguously."""
+    for i, n in enumerate(names):
+        df = df.withColumnRenamed(n, f"__k{i}")
+    return df
+
+
+def _same(names: Sequence[str]) -> list[Column]:
+    return [F.col(n) == F.col(f"__k{i}") for i, n in enumerate(names)]
+
+
 def percentile_of(df: DataFrame, groups: Sequence[str], value: str, lower_better: Column,
                   out: str = "pct", n_out: str | None = None) -> DataFrame:
     """Adds each row's share of its group at or below its value (at or above, where *lower_better*)."""
-    g = list(groups)
-    cum = _cumulative_counts(df, g, value).withColumnRenamed(value, "__v")
-    keys = [df[c] == cum[c] for c in g] + [df[value] == cum["__v"]]
-    joined = df.join(cum, keys, "left").select(
-        *[df[c] for c in df.columns], cum["__n"], cum["__le"], cum["__total"])
+    keys = [*groups, value]
+    cum = _keyed(_cumulative_counts(df, groups, value), keys)
     pct = (F.when(lower_better, F.col("__total") - F.col("__le") + F.col("__n"))
            .otherwise(F.col("__le")) / F.col("__total"))
-    joined = joined.withColumn(out, pct)
-    if n_out:
-        joined = joined.withColumn(n_out, F.col("__total"))
-    return joined.drop("__n", "__le", "__total")
+    more = [pct.alias(out)] + ([F.col("__total").alias(n_out)] if n_out else [])
+    return df.join(cum, _same(keys), "left").select(*df.columns, *more)
 
 
 def ordinal(df: DataFrame, groups: Sequence[str], value: str, tie: str, out: str,
@@ -68,20 +74,17 @@ def ordinal(df: DataFrame, groups: Sequence[str], value: str, tie: str, out: str
     g = list(groups)
     cum = _cumulative_counts(df, g, value)
     start = (F.col("__total") - F.col("__le")) if descending else (F.col("__le") - F.col("__n"))
-    base = cum.select(*g, F.col(value).alias("__v"), start.alias("__start"))
+    base = cum.select(*g, value, start.alias("__start"))
     marked = df.where(F.col(value).isNotNull()).withColumn("__p", F.substring(F.col(tie), 1, 6))
     parts = marked.groupBy(*g, value, "__p").agg(F.count(F.lit(1)).alias("__pn"))
     w = Window.partitionBy(*g, value).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*g, F.col(value).alias("__v"), "__p",
-                         F.coalesce(F.sum("__pn").over(w), F.lit(0)).alias("__skip"))
-    offsets = parts.join(base, [*g, "__v"])
-    within = Window.partitionBy(*g, value, "__p").orderBy(tie)
+    parts = parts.withColumn("__skip", F.coalesce(F.sum("__pn").over(w), F.lit(0))).drop("__pn")
+    keys = [*g, value, "__p"]
+    offsets = _keyed(parts.join(base, [*g, value]), keys)
+    within = Window.partitionBy(*keys).orderBy(tie)
     numbered = marked.withColumn("__i", F.row_number().over(within))
-    cond = [numbered[c] == offsets[c] for c in g] + [numbered[value] == offsets["__v"],
-                                                     numbered["__p"] == offsets["__p"]]
-    return numbered.join(offsets, cond).select(
-        *[numbered[c] for c in df.columns],
-        (F.col("__start") + F.col("__skip") + F.col("__i")).cast("bigint").alias(out))
+    return numbered.join(offsets, _same(keys)).select(
+        *df.columns, (F.col("__start") + F.col("__skip") + F.col("__i")).cast("bigint").alias(out))
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str,

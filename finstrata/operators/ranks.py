@@ -7,6 +7,7 @@ companies is spread over the cluster.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +58,10 @@ def magic_rank(scores: DataFrame) -> DataFrame:
     ok = scores.where(~F.col("sector_class").isin(*MAGIC_EXCLUDED) & F.col("earnings_yield").isNotNull()
                       & F.col("return_on_capital").isNotNull())
     base = ok.select("ticker", "earnings_yield", "return_on_capital")
-    ey = ordinal(base, [], "earnings_yield", "ticker", "ey_rank", descending=True)
-    both = ordinal(ey, [], "return_on_capital", "ticker", "roc_rank", descending=True)
+    ey = ordinal(base, [], "earnings_yield", "ticker", "ey_rank", descending=True).select("ticker", "ey_rank")
+    roc = ordinal(base, [], "return_on_capital", "ticker", "roc_rank", descending=True).select("ticker", "roc_rank")
+    # The third ordering reads the first two three times over: they are kept rather than computed again.
+    both = ey.join(roc, "ticker").persist(StorageLevel.MEMORY_AND_DISK)
     # Positions are unique, so one number orders (sum, earnings-yield position).
     keyed = both.withColumn("__sum", (F.col("ey_rank") + F.col("roc_rank")).cast("double"))
     keyed = keyed.withColumn("__tie", F.lpad(F.col("ey_rank").cast("string"), 12, "0"))

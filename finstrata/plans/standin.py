@@ -8,11 +8,13 @@ which doubles add exactly in any order.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from finstrata.session import ensure_checkpoint_dir
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -257,13 +259,15 @@ def with_relations(sql: str) -> str:
 
 
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
+# Row-for-row views of a table: cheap to derive again, so not written.
+_NARROW = {"si_company", "si_facts", "si_trades"}
 
 
 class Universe:
     """The relations over one data folder, each built when first asked for.
 
-    A relation is persisted (memory, then disk) so the queries of one session share one computation of
-    it; a lost executor's part is recomputed from the tables.
+    A derived relation is written once as a table in the shared checkpoint folder and read back. The
+    queries of a session share it, its lineage is cut, and losing an executor loses nothing.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -284,18 +288,21 @@ class Universe:
     def __getattr__(self, name: str) -> DataFrame:
         if f"si_{name}" not in RELATIONS:
             raise AttributeError(name)
-        return self.shared(f"si_{name}", lambda: self.relation(f"si_{name}"))
+        full = f"si_{name}"
+        if full in _NARROW:
+            return self.relation(full)
+        return self.shared(full, lambda: self.relation(full))
 
     def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """*build*'s result, persisted once per application and data folder."""
+        """*build*'s result, written once per application and data folder."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _SHARED:
-            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            _SHARED[key] = self.spark.read.parquet(path)
         return _SHARED[key]
 
 
-def release_shared() -> None:
-    """Drops every shared relation, so that the next query computes its inputs again."""
-    for df in _SHARED.values():
-        df.unpersist()
+def forget_shared() -> None:
+    """Forgets the shared relations, so that the next query derives its inputs again."""
     _SHARED.clear()
