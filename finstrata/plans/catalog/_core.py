@@ -15,18 +15,25 @@ from finstrata.plans.standin import Universe, with_relations
 class Entry:
     build: Callable[[Universe], DataFrame]
     sql: str | None
-    rounded: tuple[str, ...]
+    rounded: tuple[tuple[str, int], ...]
 
 
 ENTRIES: dict[str, Entry] = {}
 
 
 def query(name: str, sql: str | None = None, r: str = ""):
-    """Registers a query. *r* lists DOUBLE columns compared after rounding on both sides."""
+    """Registers a query. *r* lists DOUBLE columns rounded on both sides (``name`` or ``name:digits``).
+
+    Large values, whose last digits depend on the order of a sum, keep one decimal.
+    """
+    def digits(c: str) -> tuple[str, int]:
+        n, _, d = c.partition(":")
+        return n, int(d or 6)
+
     def add(build: Callable[[Universe], DataFrame]):
         if name in ENTRIES:
             raise ValueError(f"duplicate query {name}")
-        ENTRIES[name] = Entry(build, sql, tuple(r.split()))
+        ENTRIES[name] = Entry(build, sql, tuple(digits(c) for c in r.split()))
         return build
     return add
 
@@ -36,9 +43,9 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = entry.build(Universe(spark, sf_dir))
-        for c in entry.rounded:
+        for c, d in entry.rounded:
             x = F.col(c)
-            df = df.withColumn(c, F.when(F.abs(x) < 1e5, F.round(x, 6)).otherwise(F.round(x, 1)))
+            df = df.withColumn(c, F.when(F.abs(x) < 1e5, F.round(x, d)).otherwise(F.round(x, 1)))
         return df
     return call
 
@@ -50,5 +57,6 @@ def oracle(name: str) -> str | None:
     sql = with_relations(entry.sql)
     if not entry.rounded:
         return sql
-    swaps = ", ".join(f"CASE WHEN abs({c}) < 1e5 THEN round({c}, 6) ELSE round({c}, 1) END AS {c}" for c in entry.rounded)
+    swaps = ", ".join(f"CASE WHEN abs({c}) < 1e5 THEN round({c}, {d}) ELSE round({c}, 1) END AS {c}"
+                      for c, d in entry.rounded)
     return f"SELECT * REPLACE ({swaps}) FROM ({sql}) AS rounded"
