@@ -45,7 +45,7 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
         df = entry.build(Universe(spark, sf_dir))
         for c, d in entry.rounded:
             x = F.col(c)
-            df = df.withColumn(c, F.when(F.abs(x) < 1e5, F.round(x, d)).otherwise(F.round(x, 1)))
+            df = df.withColumn(c, F.when(F.abs(x) < 1e5, F.round(x, d)).when(F.abs(x) < 1e8, F.round(x, 3)).otherwise(F.round(x, 1)))
         return df
     return call
 
@@ -57,6 +57,6 @@ def oracle(name: str) -> str | None:
     sql = with_relations(entry.sql)
     if not entry.rounded:
         return sql
-    swaps = ", ".join(f"CASE WHEN abs({c}) < 1e5 THEN round({c}, {d}) ELSE round({c}, 1) END AS {c}"
+    swaps = ", ".join(f"CASE WHEN abs({c}) < 1e5 THEN round({c}, {d}) WHEN abs({c}) < 1e8 THEN round({c}, 3) ELSE round({c}, 1) END AS {c}"
                       for c, d in entry.rounded)
     return f"SELECT * REPLACE ({swaps}) FROM ({sql}) AS rounded"
