@@ -146,7 +146,7 @@ def ins2(u):
     return ins.company_filings(f, t.withColumn("cik", F.concat("ticker", F.lit("new"))), t.withColumn("predecessor_cik", F.concat("ticker", F.lit("old")))).select("ticker", "accession", "filed")
 
 
-@query("ins4_price_suspect", "SELECT t.accession, t.price, b.close, CASE WHEN b.close <> 0 THEN abs(t.price / 1000 - b.close) <= 0.1 * b.close OR abs(t.price * 1000 - b.close) <= 0.1 * b.close END AS price_suspect FROM (SELECT accession, ticker, date, price * 40 AS price FROM si_trades) t ASOF LEFT JOIN (SELECT ticker, CAST(date + INTERVAL 28 YEAR AS DATE) AS date, close / 100 AS close FROM si_bars) b ON b.ticker = t.ticker AND t.date >= b.date", r="price close")
+@query("ins4_price_suspect", "SELECT t.accession, t.price, b.close, CASE WHEN b.close <> 0 THEN abs(t.price / 1000 - b.close) <= 0.1 * b.close OR abs(t.price * 1000 - b.close) <= 0.1 * b.close END AS price_suspect FROM (SELECT accession, ticker, date, price * 40 AS price FROM si_trades) t ASOF LEFT JOIN (SELECT ticker, CAST(date + INTERVAL 28 YEAR AS DATE) AS date, close / 100 AS close FROM si_bars) b ON b.ticker = t.ticker AND t.date >= b.date", r="price:9 close:9")
 def ins4(u):
     bars = u.bars.select("ticker", F.add_months("date", 12 * 28).alias("date"), (F.col("close") / 100).alias("close"))
     return ins.price_suspect(u.trades.withColumn("price", F.col("price") * 40), bars).select("accession", "price", "close", "price_suspect")
