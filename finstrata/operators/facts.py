@@ -298,3 +298,39 @@ def filing_dates(facts: DataFrame) -> DataFrame:
 
 def undated(facts: DataFrame) -> DataFrame:
     return facts.groupBy("ticker").agg(F.sum(F.col("filed").isNull().cast("int")).alias("undated"))
+
+
+# The noncurrent lines outside the registry, and how much of a total the parts must make up.
+DEBT_LINES = ("LongTermNotesAndLoans", "SeniorLongTermNotes", "OtherLongTermDebtNoncurrent", "LongTermLoansPayable")
+NEXT_MATURITIES = "LongTermDebtMaturitiesRepaymentsOfPrincipalInNextTwelveMonths"
+NONCURRENT = ("LongTermDebtAndCapitalLeaseObligations", "LongTermNotesPayable", "UnsecuredLongTermDebt", "ConvertibleLongTermNotesPayable")
+MATURITIES = ("LongTermDebtCurrent", "LongTermDebtAndCapitalLeaseObligationsCurrent")
+MADE_UP = 0.05
+
+
+def debt_totals_set_aside(facts: DataFrame) -> DataFrame:
+    """Drops the LongTermDebt total where the filing's noncurrent figure and current debt already hold it (FCT-9).
+
+    A noncurrent line outside the registry that makes up the total with a current figure stands in for it.
+    """
+    tags = {"LongTermDebt": "t", "LongTermDebtNoncurrent": "own", "DebtCurrent": "dc", "ShortTermBorrowings": "sb", NEXT_MATURITIES: "nx",
+            **{x: f"m{i}" for i, x in enumerate(MATURITIES)}, **{x: f"n{i}" for i, x in enumerate(NONCURRENT)}, **{x: f"l{i}" for i, x in enumerate(DEBT_LINES)}}
+    w = _wide(_instants(facts, tuple(tags)), DATED, tags).where(F.col("t").isNotNull())
+    c = F.col
+    first_n = F.coalesce(*[c(f"n{i}") for i in range(len(NONCURRENT))])
+    makes_up = lambda v: F.greatest(*[F.coalesce((x > 0) & agree(v + x, c("t")), F.lit(False)).cast("int") for x in (c("dc"), c("m0"), c("m1"), c("nx"))]) == 1
+    fits = [F.when(c(f"l{i}").isNotNull() & makes_up(c(f"l{i}")), F.struct(F.lit(x).alias("tag"), c(f"l{i}").alias("v"))) for i, x in enumerate(DEBT_LINES)]
+    line = F.when(first_n.isNull() & c("own").isNull(), F.coalesce(*fits))
+    w = w.withColumn("line", line).withColumn("n", F.coalesce(first_n, F.col("line.v")))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    either = F.greatest(c("m0"), c("m1"))
+    holds = (F.when(c("dc").isNotNull(), c("dc") > 0)
+             .when((c("sb") > 0) & (c("sb") == c("m0")), True).when(c("sb").isNull() & (c("m0") > 0), True)
+             .otherwise((either > 0) & (c("n") + zero(c("sb")) + either >= (1 - MADE_UP) * c("t"))))
+    aside = w.where(c("n").isNotNull() & ((c("t") < c("n")) | F.coalesce(holds, F.lit(False)))).select(*DATED, "line")
+    hit = F.col("tag") == "LongTermDebt"
+    kept = facts.where(~hit).unionByName(facts.where(hit).join(aside.select(*DATED), DATED, "left_anti"))
+    named = aside.where(F.col("line").isNotNull()).select(*DATED, F.col("line.tag").alias("__tag"))
+    stand_in = (facts.where(F.col("tag").isin(*DEBT_LINES)).join(named, DATED).where(F.col("tag") == F.col("__tag"))
+                .withColumn("tag", F.lit("LongTermDebtNoncurrent")).select(*facts.columns))
+    return kept.unionByName(stand_in)
