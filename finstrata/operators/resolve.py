@@ -261,3 +261,78 @@ def has_snapshots(known: DataFrame, companies: DataFrame) -> DataFrame:
 def list_vintages(vintage_rows: DataFrame, fiscal_year: int | None = None) -> DataFrame:
     v = vintage_rows if fiscal_year is None else vintage_rows.where(F.col("fiscal_year") == fiscal_year)
     return v.orderBy("ticker", F.desc("fiscal_year"), "filed")
+
+
+# ---- tagging errors of later filings (RES-7)
+
+# Totals never zero, the least power of ten read as a scale error, years around that decide.
+NEVER_ZERO = ("total_assets", "current_assets", "total_liabilities", "current_liabilities", "total_equity")
+MIN_SCALE_ERROR, NEIGHBOUR_YEARS, COUNT_TOLERANCE = 3, 2, 0.1
+CASH_SECTIONS = ("operating_cash_flow", "investing_cash_flow", "financing_cash_flow")
+WEIGHTED_COUNTS = ("weighted_avg_shares_basic", "weighted_avg_shares_diluted")
+
+
+def _error_kind(earlier: Column, latest: Column, field: Column) -> Column:
+    """sign flip, zero or scale: what a later figure is of the one earlier filings agree on; NULL when no such error."""
+    from finstrata.operators.facts import agree
+    ratio = latest / F.nullif(earlier, F.lit(0.0))
+    k = F.round(F.log10(F.when(ratio > 0, ratio))).cast("int")
+    scale = (F.abs(k) >= MIN_SCALE_ERROR) & agree(ratio, F.pow(F.lit(10.0), k.cast("double")))
+    return (F.when((earlier == 0) | agree(earlier, latest), None).when(latest == 0, F.when(field.isin(*NEVER_ZERO), "zero"))
+            .when(agree(earlier, -latest), "sign flip").when(scale, F.concat(F.lit("scale x10^"), k.cast("string"))))
+
+
+def restore_agreed_figures(record: DataFrame, facts: DataFrame, registry: DataFrame) -> DataFrame:
+    """The long annual record with figures put back where the latest filing's reads as a tagging error.
+
+    A year's own net change in cash decides for its cash-flow sections, its shares outstanding for a weighted count
+    in thousands, and the years around it for the rest. Adds ``repair`` (the kind) where a figure was put back. Only
+    a year's annual reports under the winning tag are listed: a handful.
+    """
+    from finstrata.functions.exprs import array_median
+    from finstrata.operators.facts import agree
+    key = ["ticker", "fiscal_year", "field"]
+    a = _own_period(_annual(candidates(facts, registry)), year_ends(facts, registry), ["ticker", "fiscal_year"])
+    value = F.when(F.col("sign") == "abs", F.abs("val")).otherwise(F.col("val"))
+    won = record.select(*key, "tag", F.col("val").alias("latest"))
+    h = (a.join(won, [*key, "tag"]).groupBy(*key, "latest")
+         .agg(F.array_sort(F.collect_set(F.struct("filed", value.alias("v"), "accn"))).alias("h")))
+    last = F.element_at("h", -1)["filed"]
+    same, before = F.filter("h", lambda x: x["filed"] == last), F.filter("h", lambda x: x["filed"] < last)
+    h = h.withColumns({"__before": before, "__ok": F.forall(same, lambda x: agree(x["v"], F.col("latest")))})
+    h = h.withColumn("earlier", F.get("__before", F.size("__before") - 1)["v"])
+    h = h.where(F.col("__ok") & (F.size("__before") > 0) & F.forall("__before", lambda x: agree(x["v"], F.col("earlier"))))
+    h = h.withColumns({"kind": _error_kind(F.col("earlier"), F.col("latest"), F.col("field")), "kept_from": F.get("__before", F.size("__before") - 1)["accn"]})
+    conflicts = h.where(F.col("kind").isNotNull()).select(*key, "earlier", "latest", "kind", "kept_from")
+    w = Window.partitionBy("ticker", "field").orderBy("fiscal_year")
+    around = record.select(*key, F.concat(F.collect_list("val").over(w.rangeBetween(-NEIGHBOUR_YEARS, -1)), F.collect_list("val").over(w.rangeBetween(1, NEIGHBOUR_YEARS))).alias("near"))
+    year = record.join(conflicts.select(*key, "earlier"), key, "left")
+    pick = lambda f, c, n: F.max(F.when(F.col("field") == f, F.col(c))).alias(n)
+    cash = year.groupBy("ticker", "fiscal_year").agg(
+        *[pick(s, "val", f"c{i}") for i, s in enumerate(CASH_SECTIONS)], *[pick(s, "earlier", f"e{i}") for i, s in enumerate(CASH_SECTIONS)],
+        pick("net_change_in_cash", "val", "net"), pick("fx_effect_on_cash", "val", "fx"), pick("cash_from_discontinued_operations", "val", "disc"), pick("shares_outstanding", "val", "out"))
+
+    def adds_up(parts: list[Column]) -> Column:
+        total, top = parts[0] + parts[1] + parts[2], F.greatest(*[F.abs(p) for p in parts])
+        room = 0.01 * F.when(top == 0, 1.0).otherwise(top)
+        fx, disc = F.coalesce("fx", F.lit(0.0)), F.coalesce("disc", F.lit(0.0))
+        hit = F.lit(False)
+        for extra in (F.lit(0.0), fx, disc, fx + disc):
+            hit = hit | (F.abs(total + extra - F.col("net")) <= room)
+        return hit
+
+    now = [F.col(f"c{i}") for i in range(3)]
+    agreed = [F.coalesce(f"e{i}", f"c{i}") for i in range(3)]
+    j = conflicts.join(around, key).join(cash, ["ticker", "fiscal_year"])
+    logs = F.transform(F.filter("near", lambda v: v != 0), lambda v: F.log10(F.abs(v)))
+    j = j.withColumn("__mid", array_median(logs)).withColumn("__logs", F.size(logs))
+    e, l, near = F.col("earlier"), F.col("latest"), F.col("near")
+    far = (F.abs(F.log10(F.abs(F.nullif(e, F.lit(0.0)))) - F.col("__mid")) <= 1) & ((l == 0) | (F.abs(F.log10(F.abs(F.nullif(l, F.lit(0.0)))) - F.col("__mid")) > 1))
+    years = (F.size(near) >= 2) & F.when(F.col("kind") == "sign flip", F.forall(near, lambda v: (v != 0) & ((v > 0) == (e > 0)))).otherwise(
+        ~((F.col("kind") == "zero") & F.exists(near, lambda v: v == 0)) & (F.col("__logs") >= 2) & far)
+    judged = F.col("field").isin(*CASH_SECTIONS) & (now[0] + now[1] + now[2] + F.col("net")).isNotNull()
+    counted = F.col("field").isin(*WEIGHTED_COUNTS) & F.col("kind").startswith("scale x10^-") & (F.col("out") > 0) & (F.abs(e / F.nullif(F.col("out"), F.lit(0.0)) - 1) <= COUNT_TOLERANCE)
+    put_back = F.when(judged, ~adds_up(now) & adds_up(agreed)).otherwise(F.coalesce(counted, F.lit(False)) | F.coalesce(years, F.lit(False)))
+    fixed = j.where(put_back).select(*key, "earlier", "kind", "kept_from")
+    return (record.join(fixed, key, "left").withColumns({"val": F.coalesce("earlier", "val"), "accn": F.coalesce("kept_from", "accn")})
+            .withColumnRenamed("kind", "repair").drop("earlier", "kept_from"))

@@ -42,3 +42,16 @@ def val21(u):
         g = t[n].groupBy("ticker").agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "ticker", "rows")
         out = g if out is None else out.unionByName(g)
     return out
+
+
+# Every report gives a year the same figures, but the last of every third year turns net income's sign and states sales in thousands.
+R["si_f_repair"] = I._facts(["Revenues", "NetIncomeLoss", "Revenues", "NetIncomeLoss", "Revenues", "NetIncomeLoss", "Assets"], False,
+    val="(CAST(1000000 AS DOUBLE) * (1 + l_suppkey % 7)) * CASE WHEN o_orderdate >= TIMESTAMP '2001-06-01 00:00:00' AND o_orderdate < TIMESTAMP '2001-07-01 00:00:00' AND year(l_shipdate) % 3 = 0 THEN CASE WHEN l_linenumber IN (2, 4) OR l_linenumber = 6 THEN -1 ELSE 0.001 END ELSE 1 END")
+R["ox_repair"] = "SELECT ticker, CAST(year(\"end\") AS INT) AS fiscal_year, CASE tag WHEN 'Revenues' THEN 'revenue' ELSE 'net_income' END AS field, max(filed) AS last, min(filed) AS first, arg_max(val, CAST(filed AS VARCHAR) || accn) AS val, CAST(1000000 AS DOUBLE) * (1 + CAST(substr(ticker, 2) AS INT) % 7) AS base FROM si_f_repair WHERE form IN ('10-K', '10-K/A') AND tag <> 'Assets' GROUP BY ALL"
+
+
+@query("res7_restore_agreed_figures", "SELECT ticker, fiscal_year, field, CASE WHEN val <> base AND first < last THEN base ELSE val END AS val, CASE WHEN val = base OR first = last THEN NULL WHEN field = 'revenue' THEN 'scale x10^-3' ELSE 'sign flip' END AS repair FROM ox_repair", r="val")
+def res7(u):
+    from finstrata.operators import resolve as rs
+    r = I.registry(u)
+    return rs.restore_agreed_figures(rs.annual_record(u.f_repair, r), u.f_repair, r).where(F.col("field").isin("revenue", "net_income")).select("ticker", "fiscal_year", "field", "val", "repair")
