@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finstrata.llm import html_extract, url_filter
+from finstrata.llm import html_extract, langid, url_filter, warc
 
 QUERIES = {}
 SQL = {}
@@ -41,3 +42,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_extraction")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.label(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query("op4_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS d, row_number() OVER (PARTITION BY sha1(coalesce(html, '')) ORDER BY page_id NULLS LAST, url NULLS LAST) AS k,
+                  first_value(page_id) OVER (PARTITION BY sha1(coalesce(html, '')) ORDER BY page_id NULLS LAST, url NULLS LAST) AS f FROM pages)
+SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(d, (i // 4) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
+FROM p""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(spark, pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
