@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import html_extract, langid, url_filter, warc
+from finstrata.llm import html_extract, langid, mixing, url_filter, warc
 
 QUERIES = {}
 SQL = {}
@@ -61,3 +61,8 @@ FROM p""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(spark, pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_source_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
