@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import html_extract, langid, mixing, url_filter, warc
+from finstrata.llm import decontam, html_extract, langid, line_dedup, mixing, url_filter, warc
 
 QUERIES = {}
 SQL = {}
@@ -66,3 +66,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_source_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_line_dedup", r"""
+WITH l AS (SELECT doc_id, source, i, string_split(coalesce(text, ''), chr(10))[i] AS raw, trim(string_split(coalesce(text, ''), chr(10))[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+           FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
+bad AS (SELECT line, min(doc_id) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '') || (source IS NULL)) >= 10),
+m AS (SELECT l.*, bad.line IS NULL OR (doc_id IS NOT DISTINCT FROM first AND i = min(i) OVER (PARTITION BY doc_id, l.line)) AS stays FROM l LEFT JOIN bad ON l.line = bad.line),
+d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT stays) AS gone, string_agg(raw, chr(10) ORDER BY i) FILTER (stays) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END AS n_lines, gone AS n_removed, CAST(length(CASE WHEN gone > 0 THEN coalesce(kept, '') ELSE text END) AS BIGINT) AS n_chars,
+       md5(CASE WHEN gone > 0 THEN coalesce(kept, '') ELSE text END) AS text_md5
+FROM documents JOIN d USING (doc_id)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
