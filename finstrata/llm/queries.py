@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import decontam, html_extract, langid, line_dedup, mixing, url_filter, warc
+from finstrata.llm import decontam, html_extract, langid, line_dedup, mixing, simhash, url_filter, warc
 
 QUERIES = {}
 SQL = {}
@@ -85,3 +85,8 @@ FROM documents JOIN d USING (doc_id)""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("op10_simhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

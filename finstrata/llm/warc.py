@@ -36,7 +36,8 @@ def _open(path: str, mode: str):
 def train_dictionary(pages: DataFrame, html: str = "html", rows: int = 400, chars: int = 8_000, size: int = 32_768) -> bytes:
     """A dictionary from at most *rows* pages, chosen by hash from all, *chars* characters of each; empty if there are too few."""
     h = F.col(html)
-    taken = pages.where(F.length(h) > 0).select(F.substring(h, 1, chars).alias("t"), F.xxhash64(h).alias("h")).orderBy("h", "t").limit(rows).collect()
+    few = F.pmod(F.xxhash64(h), F.lit(1 << 30)) < F.lit(int(min(1.0, 2 * rows / max(pages.count(), 1)) * (1 << 30)))  # so that tasks hand on few rows
+    taken = pages.where((F.length(h) > 0) & few).select(F.substring(h, 1, chars).alias("t"), F.xxhash64(h).alias("h")).distinct().orderBy("h", "t").limit(rows).collect()
     samples = list(dict.fromkeys(r["t"].encode("utf-8", "replace") for r in taken))
     if len(samples) < 32:
         return b"".join(samples)[:size]
