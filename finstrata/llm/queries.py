@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import decontam, html_extract, langid, line_dedup, mixing, simhash, url_filter, warc
+from finstrata.llm import decontam, hnsw, html_extract, langid, line_dedup, mixing, simhash, url_filter, warc
 
 QUERIES = {}
 SQL = {}
@@ -90,3 +90,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
