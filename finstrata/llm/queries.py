@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finstrata.llm import decontam, hnsw, html_extract, langid, line_dedup, mixing, simhash, url_filter, warc
+from finstrata.llm import decontam, hnsw, html_extract, langid, line_dedup, mixing, pii, simhash, url_filter, warc
 
 QUERIES = {}
 SQL = {}
@@ -95,3 +95,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"))
