@@ -50,7 +50,7 @@ def dedup(docs: DataFrame, text: str = "text", site: str = "source", order: str
     bad = boilerplate(docs, text, site, order, min_sites)
     base = docs.drop("n_lines", "n_removed").withColumn("_k", F.xxhash64(F.col(text)))
     found = base.select("_k", F.explode(_lines(F.col(text))).alias("line")).where(F.col("line") != "").select("_k", _hash(F.col("line")).alias("h")).join(bad, "h")
-    drop = found.groupBy("_k", "h", "first").agg(F.lit(1)).groupBy("_k").agg(F.collect_list(F.struct("h", "first")).alias("_drop"))
+    drop = written(found.groupBy("_k", "h", "first").agg(F.lit(1)).groupBy("_k").agg(F.collect_list(F.struct("h", "first")).alias("_drop")), "line-drops")
     t = F.coalesce(F.col(text), F.lit(""))
     raw, hashes = F.split(t, "\n"), F.transform(_lines(F.col(text)), _hash)
 
