@@ -175,7 +175,8 @@ def _contaminated_by(items: Items, docs: DataFrame, threshold: float) -> DataFra
                 if len(own):
                     kept.append(k)
                     grams.append(_signed(own).tolist())
-            yield batch.iloc[kept].assign(grams=grams)
+            near = batch.iloc[kept]
+            yield near.assign(grams=pd.Series(grams, index=near.index, dtype=object))
 
     near = written(docs.mapInPandas(hits, "doc_id long, text string, grams array<long>"), "decontam-hits")
     counts = near.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()  # at most one row for each n-gram of the part
