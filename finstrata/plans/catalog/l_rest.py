@@ -22,15 +22,23 @@ def fct9(u):
     return fx.debt_totals_set_aside(u.f_totals).select("ticker", "tag", "end", "val", "accn")
 
 
-# Officer titles by customer, each with whether it is the company's own sitting chief.
-_TITLES = [("Chief Executive Officer", True), ("EVP & CFO", True), ("Former Senior VP & CFO", False), ("CEO (Retired)", False), ("President & CEO (former CFO)", True), ("CEO, BGS", False), ("CEO of Payments", False),
-           ("CEO, Chairman", True), ("CFO, EVP & Treasurer", True), ("Deputy CFO", False), ("Advisor to the CEO", False), ("CEO of the Company", True), ("Chief Fin & Op Officer", True), ("Director", False), ("CEO-Elect", False), ("CFO and SVP, Business Ops", True)]
-R["si_titles"] = "SELECT c_custkey AS customer, concat('T', CAST(c_nationkey AS VARCHAR(4))) AS ticker, CASE c_custkey % 16 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_TITLES)) + " END AS officer_title FROM customer"
+# Titles put together from what stands before a chief's name, the name, and what follows it; each part says whether the chief sits.
+_BEFORE = [("", True), ("President & ", True), ("Chairman, ", True), ("Interim ", True), ("Founder/", True), ("Former ", False), ("Advisor to the ", False), ("Deputy ", False), ("Office of the ", False), ("Ex-", False), ("Retired VP and ", False)]
+_CHIEF = ["CEO", "CFO", "C.E.O.", "Chief Executive Officer", "chief financial officer", "Chief Exec. Ofcr", "CHIEF FIN & LEGAL OFFICER"]
+_AFTER = [("", True), (", Treasurer", True), (" & Director", True), (" and Secretary, Canada", True), (" of the Company", True), (" (Former President)", True), ("; Board Member", True), (" of Retail", False), (", Europe", False),
+          (" - Asia Pacific", False), (" (retired)", False), (" & VP at Subsidiary", False), ("-Elect", False), (" & Secretary - Mills", False), (" Emeritus", False)]
+_pick = lambda parts, n: f"CASE {n} % {len(parts)} " + " ".join(f"WHEN {i} THEN '{x[0] if isinstance(x, tuple) else x}'" for i, x in enumerate(parts)) + " END"
+_sits = lambda parts, n: f"{n} % {len(parts)} IN ({', '.join(str(i) for i, x in enumerate(parts) if x[1])})"
+_B, _C, _A = "c_custkey", f"CAST(floor(c_custkey / {len(_BEFORE)}) AS INT)", f"(CAST(floor(c_custkey / {len(_BEFORE) * len(_CHIEF)}) AS INT) + c_custkey)"
+R["si_titles"] = f"""SELECT c_custkey AS customer, concat('T', CAST(c_nationkey AS VARCHAR(4))) AS ticker,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN concat('Vice President of ', CAST(c_nationkey AS VARCHAR(4))) WHEN c_custkey % 13 = 0 THEN concat('CEO of T', CAST(c_nationkey + c_custkey % 2 AS VARCHAR(4)))
+    ELSE concat({_pick(_BEFORE, _B)}, {_pick(_CHIEF, _C)}, {_pick(_AFTER, _A)}) END AS officer_title,
+  c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AND CASE WHEN c_custkey % 13 = 0 THEN c_custkey % 2 = 0 ELSE {_sits(_BEFORE, _B)} AND {_sits(_AFTER, _A)} END AS sits FROM customer"""
 
 
-@query("ins3_is_ceo_cfo", "SELECT customer, officer_title, CASE officer_title " + " ".join(f"WHEN '{t}' THEN {str(b).lower()}" for t, b in _TITLES) + " END AS is_ceo_cfo FROM si_titles")
+@query("ins3_is_ceo_cfo", "SELECT customer, officer_title, sits AS is_ceo_cfo FROM si_titles")
 def ins3(u):
-    return titles.classify_titles(u.titles).select("customer", "officer_title", "is_ceo_cfo")
+    return titles.classify_titles(u.titles.drop("sits")).select("customer", "officer_title", "is_ceo_cfo")
 
 
 @query("val21_compute_all", "SELECT 'valuations' AS name, ticker, count(*) AS rows FROM ox_models GROUP BY ticker UNION ALL SELECT 'valuation_history', ticker, count(*) FROM ox_multiples GROUP BY ticker UNION ALL SELECT 'warning_signs', ticker, count(*) FROM ox_signs GROUP BY ticker UNION ALL SELECT 'per_share_annual', ticker, count(*) FROM ox_rows GROUP BY ticker UNION ALL SELECT 'valuation_indicators', ticker, count(*) FROM ox_indicators GROUP BY ticker UNION ALL SELECT 'quality_scores', ticker, 1 FROM ox_cur")
