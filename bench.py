@@ -33,7 +33,7 @@ def main() -> None:
     took = {}
     for name, key, fresh in QUERIES:
         if fresh:
-            forget_shared()
+            forget_shared(spark)
         t = time.time()
         catalog.run(key)(spark, SF).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - t, 3)

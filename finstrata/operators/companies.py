@@ -54,11 +54,12 @@ def sic_codes(companies: DataFrame) -> DataFrame:
     return companies.where(F.col("sic").isNotNull()).select("ticker", "sic", "sic_description")
 
 
-def search_hits(companies: DataFrame, text: str, limit: int = 10) -> DataFrame:
+def search_hits(companies: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     """Ticker prefix matches first, then names that contain the text."""
     s = text.upper()
     rank = F.when(F.upper("ticker") == s, 0).when(F.upper("ticker").startswith(s), 1).otherwise(2)
-    return matching(companies, search=text).withColumn("rank", rank).orderBy("rank", "ticker").limit(limit).select("ticker", "company_name", "rank")
+    hits = matching(companies, search=text).withColumn("rank", rank).orderBy("rank", "ticker")
+    return (hits if limit is None else hits.limit(limit)).select("ticker", "company_name", "rank")
 
 
 def overview(companies: DataFrame, snapshots: DataFrame, annual: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -160,9 +161,10 @@ def peers(ticker: str, metrics: DataFrame, companies: DataFrame, names: Sequence
     return mine.join(med, "metric", "left").crossJoin(F.broadcast(count)).select("metric", "company", "sector_median", "n_peers")
 
 
-def runs(collection_runs: DataFrame, ticker: str | None = None, limit: int = 200) -> DataFrame:
+def runs(collection_runs: DataFrame, ticker: str | None = None, limit: int | None = None) -> DataFrame:
     r = collection_runs if ticker is None else collection_runs.where(F.col("ticker") == ticker)
-    return r.orderBy(F.desc("collected_at"), F.desc("run_id"), "ticker").limit(limit)
+    r = r.orderBy(F.desc("collected_at"), F.desc("run_id"), "ticker")
+    return r if limit is None else r.limit(limit)
 
 
 def run_warnings(collection_runs: DataFrame) -> DataFrame:
@@ -170,8 +172,9 @@ def run_warnings(collection_runs: DataFrame) -> DataFrame:
     return collection_runs.select("ticker", "run_id", F.explode(F.from_json("warnings", "array<string>")).alias("warning"))
 
 
-def unmapped(facts: DataFrame, limit: int = 100) -> DataFrame:
-    return facts.orderBy(F.desc("end"), F.desc(F.abs("val")), "tag", "ticker").limit(limit)
+def unmapped(facts: DataFrame, limit: int | None = None) -> DataFrame:
+    rows = facts.orderBy(F.desc("end"), F.desc(F.abs("val")), "tag", "ticker")
+    return rows if limit is None else rows.limit(limit)
 
 
 def bars_stored_at(collection_runs: DataFrame, refresh_log: DataFrame) -> DataFrame:

@@ -279,14 +279,15 @@ def gurus_holding(ticker: str, classes: DataFrame, pos: DataFrame, quarters: Dat
             .orderBy(F.col("put_call") != "", F.desc("value"), "manager", "security", "put_call"))
 
 
-def guru_portfolio(pos: DataFrame, changes: DataFrame, quarters: DataFrame, limit: int = 200) -> DataFrame:
-    """The aggregate of every manager's latest quarter: holders, shares, value, buyers, sellers; the *limit* most held."""
+def guru_portfolio(pos: DataFrame, changes: DataFrame, quarters: DataFrame, limit: int | None = None) -> DataFrame:
+    """The aggregate of every manager's latest quarter: holders, shares, value, buyers, sellers; the most held first, *limit* of them if given."""
     l = latest_quarters(quarters).select("manager", "period")
     held = pos.where(F.col("put_call") == "").join(l, ["manager", "period"]).groupBy("security").agg(
         F.count("*").alias("gurus"), F.sum("shares").alias("shares"), F.sum("value").alias("value"),
         F.max_by("issuer", F.struct("value", -F.col("manager"))).alias("issuer"))
     c = changes.where(F.col("put_call") == "").join(l, ["manager", "period"]).groupBy("security").agg(
         F.sum(F.col("action").isin("new", "added").cast("int")).alias("buyers"), F.sum(F.col("action").isin("reduced", "sold_out").cast("int")).alias("sellers"))
-    return (held.join(c, "security", "left").select("security", "issuer", "gurus", "shares", "value",
-            *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("buyers", "sellers")])
-            .orderBy(F.desc("gurus"), F.desc("value"), "security").limit(limit))
+    p = (held.join(c, "security", "left").select("security", "issuer", "gurus", "shares", "value",
+         *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("buyers", "sellers")])
+         .orderBy(F.desc("gurus"), F.desc("value"), "security"))
+    return p if limit is None else p.limit(limit)

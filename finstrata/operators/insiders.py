@@ -71,15 +71,16 @@ def amended_by(filings: DataFrame) -> DataFrame:
     return j.groupBy("accession").agg(best.alias("amends"))
 
 
-def amendment_chains(filings: DataFrame, max_rounds: int = 32) -> DataFrame:
+def amendment_chains(filings: DataFrame) -> DataFrame:
     """(accession, root): every amended or amending filing with the first filing of its chain.
 
-    Pointers are doubled, so a chain of n filings takes log2(n) rounds; each round's table is checkpointed.
+    Pointers are doubled until none moves, so a chain of n filings takes log2(n) rounds; an amendment points to an
+    earlier filing only, so there is no circle. Each round's table is checkpointed.
     """
     ensure_checkpoint_dir(filings.sparkSession)
     edges = amended_by(filings)
     ptr = edges.select("accession", F.col("amends").alias("root")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         up = ptr.select(F.col("accession").alias("root"), F.col("root").alias("__up"))
         step = ptr.join(up, "root", "left").select("accession", F.coalesce("__up", "root").alias("root"),
                                                    F.col("__up").isNotNull().alias("__moved")).checkpoint()

@@ -170,7 +170,7 @@ def market_view(series: DataFrame, fetches: DataFrame, equities: str, gdp: str)
 def risk_free(series: DataFrame, maturity: str = "10y", estimate: float | None = None) -> DataFrame:
     """The latest non-missing rate of a maturity as a fraction: first source present wins, else the estimate."""
     order = F.when(F.col("series") == f"fred:{maturity}", 0).when(F.col("series") == f"ust:{maturity}", 1)
-    s = series.withColumn("__o", order).where(F.col("__o").isNotNull() & (F.col("value") != 0))
+    s = series.withColumn("__o", order).where(F.col("__o").isNotNull() & F.col("value").isNotNull())
     per = s.groupBy("__o").agg(F.max_by("value", "date").alias("v"), F.max("date").alias("d"))
     got = per.agg(F.min_by(F.struct("v", "d", "__o"), "__o").alias("b"))
     fallback = F.lit(None).cast("double") if estimate is None else F.lit(float(estimate))

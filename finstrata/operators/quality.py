@@ -223,9 +223,10 @@ def coverage_by_sector(runs: DataFrame, companies: DataFrame) -> DataFrame:
     return n.join(m, "sector_class", "left")
 
 
-def unmapped_top(unmapped: DataFrame, limit: int = 25) -> DataFrame:
+def unmapped_top(unmapped: DataFrame, limit: int | None = None) -> DataFrame:
     g = unmapped.groupBy("tag").agg(F.countDistinct("ticker").alias("companies"), F.max("label").alias("label"), F.count("*").alias("facts"))
-    return g.orderBy(F.desc("companies"), F.desc("facts"), "tag").limit(limit)
+    g = g.orderBy(F.desc("companies"), F.desc("facts"), "tag")
+    return g if limit is None else g.limit(limit)
 
 
 def freshness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -83,7 +83,7 @@ def mkt7(u):
     return m.market_view(u.series, fetches, EQ, GDP)
 
 
-@query("mkt8_risk_free", "SELECT arg_max(value, date) / 100 AS rate, max(date) AS date, 'treasury_gov' AS source FROM si_series WHERE series = 'ust:10y' AND value <> 0", r="rate")
+@query("mkt8_risk_free", "SELECT arg_max(value, date) / 100 AS rate, max(date) AS date, 'treasury_gov' AS source FROM si_series WHERE series = 'ust:10y' AND value IS NOT NULL", r="rate")
 def mkt8(u):
     return m.risk_free(u.series)
 

@@ -139,10 +139,10 @@ def dq13(u):
     return q.coverage_by_sector(u.runs, u.company)
 
 
-R["si_unmapped"] = "SELECT concat('S', l_suppkey) AS ticker, p_name AS tag, concat(p_brand, ' ', p_type) AS label, CAST(l_shipdate AS DATE) AS \"end\", CAST(floor(l_extendedprice) AS DOUBLE) AS val FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40"
+R["si_unmapped"] = "SELECT concat('S', l_suppkey) AS ticker, p_name AS tag, concat(p_brand, ' ', p_type) AS label, CAST(l_shipdate AS DATE) AS \"end\", CAST(floor(l_extendedprice) AS DOUBLE) AS val FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
-@query("dq14_unmapped_top", "SELECT tag, count(DISTINCT ticker) AS companies, max(label) AS label, count(*) AS facts FROM si_unmapped GROUP BY tag ORDER BY companies DESC, facts DESC, tag LIMIT 25")
+@query("dq14_unmapped_top", "SELECT tag, count(DISTINCT ticker) AS companies, max(label) AS label, count(*) AS facts FROM si_unmapped GROUP BY tag")
 def dq14(u):
     return q.unmapped_top(u.unmapped)
 
@@ -164,7 +164,7 @@ def qry1c(u):
     return c.count_companies(u.company, "bank")
 
 
-@query("qry2_search_hits", "SELECT ticker, company_name, CAST(CASE WHEN ticker = 'S1' THEN 0 WHEN starts_with(ticker, 'S1') THEN 1 ELSE 2 END AS INT) AS rank FROM si_company WHERE contains(ticker, 'S1') OR contains(upper(company_name), 'S1') ORDER BY rank, ticker LIMIT 10")
+@query("qry2_search_hits", "SELECT ticker, company_name, CAST(CASE WHEN ticker = 'S1' THEN 0 WHEN starts_with(ticker, 'S1') THEN 1 ELSE 2 END AS INT) AS rank FROM si_company WHERE contains(ticker, 'S1') OR contains(upper(company_name), 'S1')")
 def qry2(u):
     return c.search_hits(u.company, "s1")
 
@@ -267,7 +267,7 @@ def qry15(u):
     return q.latest_runs(u.runs).select("ticker", "quality_score", "collected_at")
 
 
-@query("qry15_runs", "SELECT ticker, collected_at, run_id FROM si_runs ORDER BY collected_at DESC, run_id DESC, ticker LIMIT 200")
+@query("qry15_runs", "SELECT ticker, collected_at, run_id FROM si_runs")
 def qry15r(u):
     return c.runs(u.runs).select("ticker", "collected_at", "run_id")
 
@@ -278,7 +278,7 @@ def qry15w(u):
     return c.run_warnings(o.select(F.concat(F.lit("S"), F.col("o_custkey") % 100).alias("ticker"), F.col("o_orderkey").alias("run_id"), F.to_json(F.array("o_orderpriority", "o_orderstatus")).alias("warnings")))
 
 
-@query("qry16_unmapped", "SELECT ticker, tag, \"end\", val FROM si_unmapped ORDER BY \"end\" DESC, abs(val) DESC, tag, ticker LIMIT 100")
+@query("qry16_unmapped", "SELECT ticker, tag, \"end\", val FROM si_unmapped")
 def qry16(u):
     return c.unmapped(u.unmapped).select("ticker", "tag", "end", "val")
 

@@ -177,7 +177,8 @@ def src12(u):
     rows = s.select(F.concat(F.year("date"), F.lit("."), F.date_format("date", "MM")).alias("a"), F.col("`shiller:real_price`").cast("string").alias("b"), F.lit("NA").alias("c"),
                     F.col("`shiller:real_earnings`").cast("string").alias("d"), F.lit("").alias("e"), F.col("`shiller:cape`").cast("string").alias("f"))
     head = u.series.limit(1).select(*[F.lit(x).alias(n) for n, x in zip("abcdef", ("Date", "P", "D", "E", "CPI", "CAPE"))])
-    path = landed(u, "index", lambda p: head.unionByName(rows).write.csv(p))
+    title = u.series.limit(1).select(F.lit("Monthly index, its earnings and prices").alias("a"), *[F.lit(None).cast("string").alias(n) for n in "bcdef"])
+    path = landed(u, "index", lambda p: title.unionByName(head).unionByName(rows).select(F.concat_ws(",", *[F.when(F.col("b").isNull() & F.col("c").isNull(), F.lit(None)).otherwise(F.coalesce(c, F.lit(""))) if c != "a" else F.concat(F.lit('"'), "a", F.lit('"')) for c in "abcdef"]).alias("value")).write.text(p))
     return files.read_monthly_index(u.spark, path)
 
 
@@ -241,7 +242,7 @@ def snk7(u):
     part = lambda d, c, new: d.where((F.col(c) >= cut) if new else (F.col(c) < cut))
     run = lambda new: {"periods": part(p, "period_end", new), "info": u.company.select("ticker", "sic"), "snapshots": part(u.snapshots, "collected_at", new), "runs": part(u.runs, "collected_at", new),
                        "holders": u.holders.where(F.col("kind") == ("fund" if new else "institutional"))}
-    m = sinks.merge_run(run(False), run(True))
+    m = sinks.merge_run(run(False), run(True), keep_snapshots=10, keep_runs=50)
     out = None
     for n in ("snapshots", "runs"):
         g = m[n].groupBy("ticker").agg(F.count("*").alias("n"), F.max("collected_at").alias("latest")).withColumn("section", F.lit(n))

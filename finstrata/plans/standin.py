@@ -261,6 +261,7 @@ def with_relations(sql: str) -> str:
 
 
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 # Row-for-row views of a table: cheap to derive again, so not written.
 _NARROW = {"si_company", "si_facts", "si_trades"}
 
@@ -302,9 +303,16 @@ class Universe:
             path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
             build().write.parquet(path)
             _SHARED[key] = self.spark.read.parquet(path)
+            _WRITTEN[key] = path
         return _SHARED[key]
 
 
-def forget_shared() -> None:
-    """Forgets the shared relations, so that the next query derives its inputs again."""
+def forget_shared(spark: SparkSession | None = None) -> None:
+    """Forgets the shared relations, so that the next query derives its inputs again; with a session their files go too."""
+    if spark is not None:
+        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _WRITTEN.values():
+            p = path_of(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.clear()
     _SHARED.clear()

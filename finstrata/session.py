@@ -25,11 +25,17 @@ def get_session(app: str = "finstrata", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local master may go without the setting, as in tests; elsewhere a folder of one machine would lose rows.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     target = shared or tempfile.mkdtemp(prefix="finstrata-ckpt-")
     spark.sparkContext.setCheckpointDir(target)
     return target

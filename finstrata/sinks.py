@@ -46,20 +46,25 @@ def replace_if_any(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return replace_by_key(old, new, [key])
 
 
-def append_capped(old: DataFrame, new: DataFrame, key: str, order: str, keep: int) -> DataFrame:
-    """The latest *keep* entries of a key's log (the store's own retention rule: ten price snapshots, fifty runs)."""
+def append_capped(old: DataFrame, new: DataFrame, key: str, order: str, keep: int | None = None) -> DataFrame:
+    """A key's log with the new entries; its latest *keep* only, if given."""
     both = old.unionByName(new, allowMissingColumns=True)
+    if keep is None:
+        return both
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return both.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= keep).drop("__k")
 
 
-def merge_run(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """A company record across runs: periods by union, info gap-filled, logs capped, empty sections kept."""
+def merge_run(old: dict[str, DataFrame], new: dict[str, DataFrame], keep_snapshots: int | None = None, keep_runs: int | None = None) -> dict[str, DataFrame]:
+    """A company record across runs: periods by union, info gap-filled, logs appended, empty sections kept.
+
+    *keep_snapshots* and *keep_runs* are retention rules a caller may set; nothing is dropped by default.
+    """
     return {
         "periods": merge_upsert(old["periods"], new["periods"], ["ticker", "period_end"], "overwrite"),
         "info": merge_upsert(old["info"], new["info"], ["ticker"], "fill_only"),
-        "snapshots": append_capped(old["snapshots"], new["snapshots"], "ticker", "collected_at", 10),
-        "runs": append_capped(old["runs"], new["runs"], "ticker", "collected_at", 50),
+        "snapshots": append_capped(old["snapshots"], new["snapshots"], "ticker", "collected_at", keep_snapshots),
+        "runs": append_capped(old["runs"], new["runs"], "ticker", "collected_at", keep_runs),
         "holders": replace_if_any(old["holders"], new["holders"], "ticker"),
     }
 

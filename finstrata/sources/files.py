@@ -52,14 +52,15 @@ def decimal_month(c: Column) -> Column:
 
 def read_monthly_index(spark: SparkSession, path: str) -> DataFrame:
     """The monthly index sheet landed as CSV: header row found by its labels, each series to its own last value."""
-    raw = spark.read.csv(path)
-    cells = F.array(*[F.trim(F.col(c)) for c in raw.columns])
-    wanted = F.array(F.lit("Date"), *[F.lit(x) for x in INDEX_LABELS])
-    hits = F.size(F.array_intersect(cells, wanted))
-    # One header row: its label positions are the only thing read ahead.
-    head = raw.select(cells.alias("h"), hits.alias("n")).orderBy(F.desc("n")).limit(1)
-    at = lambda name: F.get("r", F.array_position("h", name).cast("int") - 1)
-    rows = raw.select(cells.alias("r")).crossJoin(F.broadcast(head))
+    # Lines above the header may have any number of cells, so lines are split one by one.
+    line = F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    raw = spark.read.text(path).select(F.transform(line, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', ""))).alias("r"))
+    wanted = ["Date", *INDEX_LABELS]
+    header = raw.where(F.size(F.array_intersect("r", F.array(*map(F.lit, wanted)))) == len(wanted)).select("r").first()
+    if header is None:
+        raise ValueError(f"{path} has no header row with {', '.join(wanted)}")
+    at = lambda name: F.get("r", F.lit(header["r"].index(name)))
+    rows = raw
     month = decimal_month(at("Date").try_cast("double"))
     vals = F.array(*[F.struct(F.lit(f"shiller:{n}").alias("series"), at(k).try_cast("double").alias("value")) for k, n in INDEX_LABELS.items()])
     long = rows.select(month.alias("date"), F.explode(vals).alias("v")).where(F.col("date").isNotNull() & F.col("v.value").isNotNull())
