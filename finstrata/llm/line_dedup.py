@@ -60,7 +60,8 @@ def dedup(docs: DataFrame, text: str = "text", site: str = "source", order: str
         own = (entry["first"].eqNullSafe(F.col(order))) & (F.array_position("_hashes", h) == i + 1) if keep_first else F.lit(False)
         return entry.isNull() | (F.trim(x, F.lit(" \t\n\x0b\x0c\r")) == "") | own
 
-    joined = base.join(drop, "_k", "left").withColumn("_hashes", F.when(F.col("_drop").isNotNull(), hashes))
+    # drop grows with the corpus: texts are dealt by hash at every size
+    joined = base.join(drop.hint("merge"), "_k", "left").withColumn("_hashes", F.when(F.col("_drop").isNotNull(), hashes))
     joined = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), F.filter(raw, stays)))
     n = F.when(t == "", F.lit(0)).otherwise(F.size(raw)).cast("long")
     out = joined.withColumns({"n_lines": n, "n_removed": F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long")})
