@@ -126,7 +126,7 @@ def discrete_quarters(ladder: DataFrame, registry: DataFrame) -> DataFrame:
     """
     info = F.broadcast(registry.select("field", "sign", "unit").distinct())
     w = Window.partitionBy("ticker", "field", "start").orderBy("end")
-    d = ladder.join(info, "field").withColumns({"pv": F.lag("val").over(w), "pe": F.lag("end").over(w), "n": F.count("end").over(Window.partitionBy("ticker", "field", "start"))})
+    d = ladder.where(F.col("val").isNotNull()).join(info, "field").withColumns({"pv": F.lag("val").over(w), "pe": F.lag("end").over(w), "n": F.count("end").over(Window.partitionBy("ticker", "field", "start"))})
     days, pdays = F.datediff("end", "start") + 1, F.datediff("pe", "start") + 1
     own = F.datediff("end", "start").between(*QUARTER_DAYS)
     step = F.datediff("end", "pe").between(*QUARTER_DAYS)

@@ -283,10 +283,10 @@ def qry16(u):
     return c.unmapped(u.unmapped).select("ticker", "tag", "end", "val")
 
 
-@query("qry17_bars_stored_at", "SELECT coalesce(a.ticker, b.ticker) AS ticker, greatest(a.m, b.m) AS stored_at FROM (SELECT ticker, max(collected_at) AS m FROM si_runs WHERE quality_score > 95 GROUP BY ticker) a FULL JOIN (SELECT ticker, CAST(max(date) AS TIMESTAMP) AS m FROM si_splits GROUP BY ticker) b ON a.ticker = b.ticker")
+@query("qry17_bars_stored_at", "SELECT coalesce(a.ticker, b.ticker) AS ticker, greatest(a.m, b.m) AS stored_at FROM (SELECT ticker, max(collected_at) AS m FROM si_runs GROUP BY ticker) a FULL JOIN (SELECT ticker, CAST(max(date) AS TIMESTAMP) AS m FROM si_splits GROUP BY ticker) b ON a.ticker = b.ticker")
 def qry17(u):
     log = u.splits.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", F.col("ratio")))).alias("updated")).select(F.col("date").cast("timestamp").alias("at"), "updated")
-    return c.bars_stored_at(u.runs.where(F.col("quality_score") > 95), log)
+    return c.bars_stored_at(u.runs, log)
 
 
 @query("qry18_company_view", "SELECT c.ticker, (SELECT count(*) FROM ox_models m WHERE m.ticker = c.ticker) AS models, (SELECT count(*) FROM ox_signs g WHERE g.ticker = c.ticker) AS signs, (SELECT string_agg(model, ',' ORDER BY model) FROM ox_models m WHERE m.ticker = c.ticker) AS model_names FROM si_company c")

@@ -157,10 +157,12 @@ def src11(u):
     return files.market_data(v, {"currentPrice": "current_price", "dividendYield": "dividend_yield"})
 
 
-@query("src11_statement_long", "SELECT ticker, make_date(CAST(fiscal_year AS BIGINT), 12, 31) AS period_end, 'capex' AS line, capex AS value FROM si_annual_cal WHERE capex IS NOT NULL AND fiscal_year IN (1999, 2000)")
+@query("src11_statement_long", " UNION ALL ".join(f"SELECT ticker, make_date(CAST(fiscal_year AS BIGINT), 12, 31) AS period_end, '{c}' AS line, CAST({c} AS DOUBLE) AS value FROM si_annual_cal WHERE {c} IS NOT NULL" for c in ("capex", "revenue", "net_income")))
 def src11s(u):
-    w = u.annual_cal.groupBy("ticker").pivot("fiscal_year", [1999, 2000]).agg(F.max("capex"))
-    return files.statement_long(w.select("ticker", F.lit("capex").alias("line"), F.col("1999").alias("1999-12-31"), F.col("2000").alias("2000-12-31")), ["1999-12-31", "2000-12-31"])
+    long = u.annual_cal.select("ticker", "fiscal_year", *[F.col(c).cast("double").alias(c) for c in ("capex", "revenue", "net_income")]).unpivot(["ticker", "fiscal_year"], ["capex", "revenue", "net_income"], "line", "v")
+    years = sorted(r[0] for r in u.annual_cal.select("fiscal_year").distinct().collect())
+    w = long.groupBy("ticker", "line").pivot("fiscal_year", years).agg(F.max("v"))
+    return files.statement_long(w.select("ticker", "line", *[F.col(str(y)).alias(f"{y}-12-31") for y in years]), [f"{y}-12-31" for y in years])
 
 
 @query("src11_vendor_events", "SELECT ticker, date, amount FROM si_dividends")
@@ -307,9 +309,9 @@ R["si_irun"] = "SELECT *, quality_score % 4 <> 0 AS complete FROM si_runs WHERE
 R["ox_irun"] = "SELECT * FROM si_irun QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY collected_at DESC, run_id DESC) = 1"
 
 
-@query("inc2_to_reload", "SELECT DISTINCT l.ticker, 'new report' AS reason FROM si_listed l JOIN ox_irun r ON r.ticker = l.ticker WHERE l.filed > CAST(r.collected_at AS DATE) AND l.form IN ('10-K', '10-Q', '10-K/A') AND l.filed > DATE '2002-08-01' UNION ALL SELECT ticker, 'incomplete' FROM ox_irun WHERE NOT complete UNION ALL SELECT DISTINCT s.ticker, 'split' FROM si_splits s JOIN ox_irun r ON r.ticker = s.ticker WHERE s.date > CAST(r.collected_at AS DATE)")
+@query("inc2_to_reload", "SELECT DISTINCT l.ticker, 'new report' AS reason FROM si_listed l JOIN ox_irun r ON r.ticker = l.ticker WHERE l.filed > CAST(r.collected_at AS DATE) AND l.form IN ('10-K', '10-Q', '10-K/A') UNION ALL SELECT ticker, 'incomplete' FROM ox_irun WHERE NOT complete UNION ALL SELECT DISTINCT s.ticker, 'split' FROM si_splits s JOIN ox_irun r ON r.ticker = s.ticker WHERE s.date > CAST(r.collected_at AS DATE)")
 def inc2(u):
-    feed = u.listed.where(F.col("filed") > F.lit("2002-08-01").cast("date")).join(u.company.select("ticker", "cik"), "ticker").select("cik", "form", "filed")
+    feed = u.listed.join(u.company.select("ticker", "cik"), "ticker").select("cik", "form", "filed")
     return inc.to_reload(feed, u.irun, u.splits, u.company)
 
 
@@ -345,11 +347,10 @@ def inc7(u):
     return inc.fill_sic(c, u.company.select("cik", "sic", "sic_description")).select("ticker", "sic", "sic_description")
 
 
-@query("inc8_served_day", "SELECT c.ticker, coalesce(greatest(b, s), CAST(r.collected_at AS DATE) - 1) AS served_on FROM ox_irun r JOIN si_company c ON c.ticker = r.ticker LEFT JOIN (SELECT ticker, max(date) AS b FROM si_bars WHERE close > 60 AND ticker < 'S5' GROUP BY ticker) x ON x.ticker = c.ticker LEFT JOIN (SELECT ticker, max(date) AS s FROM si_splits WHERE ticker < 'S5' GROUP BY ticker) y ON y.ticker = c.ticker")
+@query("inc8_served_day", "SELECT c.ticker, coalesce(greatest(b, s), CAST(r.collected_at AS DATE) - 1) AS served_on FROM ox_irun r JOIN si_company c ON c.ticker = r.ticker LEFT JOIN (SELECT ticker, max(date) AS b FROM si_bars GROUP BY ticker) x ON x.ticker = c.ticker LEFT JOIN (SELECT ticker, max(date) AS s FROM si_splits GROUP BY ticker) y ON y.ticker = c.ticker")
 def inc8(u):
     from finstrata.operators.companies import latest
-    few = F.col("ticker") < "S5"
-    return inc.served_day(u.bars.where((F.col("close") > 60) & few), u.splits.where(few), latest(u.irun, "collected_at").select("ticker", "collected_at"))
+    return inc.served_day(u.bars, u.splits, latest(u.irun, "collected_at").select("ticker", "collected_at"))
 
 
 @query("inc9_events_since", "SELECT b.ticker, least(b, d, s) AS since FROM (SELECT ticker, max(date) AS b FROM si_bars GROUP BY ticker) b LEFT JOIN (SELECT ticker, max(date) AS d FROM si_dividends GROUP BY ticker) d ON d.ticker = b.ticker LEFT JOIN (SELECT ticker, max(date) AS s FROM si_splits GROUP BY ticker) s ON s.ticker = b.ticker")
@@ -362,8 +363,8 @@ def inc9m(u):
     return inc.moving_factors(u.splits, u.company.select("ticker", F.lit("1998-01-01").cast("date").alias("since")))
 
 
-@query("inc10_merge_sections", "SELECT a.ticker, a.run_id, coalesce(a.goodwill, a.revenue) AS revenue, a.capex, 0.04 AS rate FROM (SELECT ticker, CAST(fiscal_year AS BIGINT) AS run_id, goodwill, revenue, capex FROM si_annual_cal) a WHERE NOT (run_id = 2001)".replace("0.04 AS rate", "CAST(0.04 AS DOUBLE) AS rate"))
+@query("inc10_merge_sections", "SELECT a.ticker, a.run_id, coalesce(a.goodwill, a.revenue) AS revenue, a.capex, 0.04 AS rate FROM (SELECT ticker, CAST(fiscal_year AS BIGINT) AS run_id, goodwill, revenue, capex FROM si_annual_cal) a".replace("0.04 AS rate", "CAST(0.04 AS DOUBLE) AS rate"))
 def inc10(u):
-    a = u.annual_cal.where(F.col("fiscal_year") != 2001).withColumn("run_id", F.col("fiscal_year").cast("bigint"))
+    a = u.annual_cal.withColumn("run_id", F.col("fiscal_year").cast("bigint"))
     rates = a.select("run_id").distinct().withColumn("rate", F.lit(0.04))
     return inc.merge_sections(a.select("ticker", "run_id", "revenue", "capex"), a.select("ticker", "run_id", F.col("goodwill").alias("revenue")), rates)
