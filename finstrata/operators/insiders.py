@@ -6,7 +6,6 @@ order-dependent cluster rule runs over at most one row per company and day.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,42 +90,43 @@ def amendment_chains(filings: DataFrame) -> DataFrame:
     return ptr.unionByName(roots)
 
 
-def _match_chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chain: each amendment, as filed, takes over standing trades one for one in four passes of falling likeness."""
-    title = pdf["security_title"].fillna("").str.split().str.join(" ").str.casefold()
-    pdf = pdf.assign(table=list(zip(pdf["kind"], title)), amount=list(zip(pdf["shares"].fillna(-1), pdf["price"].fillna(-1))))
-    pdf = pdf.sort_values(["filing_rank", "seq"]).reset_index(drop=True)
-    same = {"t": pdf["table"], "c": pdf["code"], "d": pdf["date"], "a": pdf["amount"]}
-    taken: dict[int, str] = {}
-    for rank in sorted(pdf["filing_rank"].unique())[1:]:
-        mine = list(pdf.index[pdf["filing_rank"] == rank])
-        earlier = list(pdf.index[pdf["filing_rank"] < rank])
-        done: set[int] = set()
-        for keys in ("tcda", "tda", "tca", "tcd"):
-            for j in mine:
-                if j in done:
-                    continue
-                hit = next((i for i in earlier if i not in taken and all(same[k][i] == same[k][j] for k in keys)), None)
-                if hit is not None:
-                    taken[hit] = pdf["accession"][j]
-                    done.add(j)
-    return pd.DataFrame({"accession": [str(pdf["accession"][i]) for i in taken], "seq": [int(pdf["seq"][i]) for i in taken],
-                         "restated_by": [str(a) for a in taken.values()]}, dtype="object")
+# What a restated trade must agree in, most alike first.
+LIKENESS = (("table", "code", "day", "amount"), ("table", "day", "amount"), ("table", "code", "amount"), ("table", "code", "day"))
+
+
+def _in_turn(trades: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """Trades numbered within their chain and key, in filing order; ``name`` is the trade."""
+    w = Window.partitionBy("root", *keys).orderBy("filing_rank", "seq")
+    return trades.select("root", *keys, F.row_number().over(w).alias("turn"), F.struct("accession", "seq").alias(name))
 
 
 def restated_trades(filings: DataFrame, trades: DataFrame) -> DataFrame:
     """(accession, seq, restated_by): trades an amendment of their chain restates, matched one for one.
 
-    Only filings in amendment chains take part; a group is one chain, i.e. one form and its corrections.
+    Amendments of all chains go in step, first to last. In each of four passes of falling likeness the n-th trade of an
+    amendment with a key takes over the n-th earlier trade of its chain with that key which still stands; what both
+    sides have left goes on to the next pass. Only filings in amendment chains take part.
     """
     chains = amendment_chains(filings)
     order = filings.groupBy("accession").agg(F.min(_order("filed_date", "form", "accession")).alias("__o"))
     w = Window.partitionBy("root").orderBy("__o")
     ranked = chains.join(order, "accession").withColumn("filing_rank", F.row_number().over(w)).drop("__o")
-    t = trades.select("accession", F.col("seq").cast("long").alias("seq"), "kind", "security_title", "code",
-                      F.col("date").cast("string").alias("date"), F.col("shares").cast("double").alias("shares"),
-                      F.col("price").cast("double").alias("price")).join(ranked, "accession")
-    return t.groupBy("root").applyInPandas(_match_chain, "accession string, seq long, restated_by string")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    title = F.lower(F.trim(F.regexp_replace(F.coalesce("security_title", F.lit("")), r"\s+", " ")))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).cast("string")
+    t = trades.select("accession", F.col("seq").cast("long").alias("seq"), F.concat_ws("\x01", known("kind"), title).alias("table"), known("code").alias("code"), known("date").alias("day"),
+                      F.concat_ws("\x01", number("shares"), number("price")).alias("amount")).join(ranked, "accession").checkpoint()
+    last = t.agg(F.max("filing_rank")).first()[0] or 1
+    taken = t.select("accession", "seq", F.col("accession").alias("restated_by")).limit(0)
+    for rank in range(2, last + 1):
+        mine = t.where(F.col("filing_rank") == rank)
+        standing = t.where(F.col("filing_rank") < rank).join(taken, ["accession", "seq"], "left_anti")
+        for keys in LIKENESS:
+            pairs = _in_turn(standing, keys, "old").join(_in_turn(mine, keys, "new"), ["root", *keys, "turn"]).select("old", "new").checkpoint()
+            taken = taken.unionByName(pairs.select("old.accession", "old.seq", F.col("new.accession").alias("restated_by")))
+            standing = standing.join(pairs.select("old.*"), ["accession", "seq"], "left_anti")
+            mine = mine.join(pairs.select("new.*"), ["accession", "seq"], "left_anti")
+    return taken
 
 
 def filing_buyer(filings: DataFrame) -> DataFrame:

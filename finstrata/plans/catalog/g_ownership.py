@@ -165,7 +165,28 @@ def ins5c(u):
     return ins.amendment_chains(u.form_filings)
 
 
-@query("ins6_restated_trades")
+_KEYS6 = ("title, code, date, shares, price", "title, date, shares, price", "title, code, shares, price", "title, code, date")
+
+
+def _restated_sql(ranks: int) -> str:
+    """Each amendment and pass as a step that pairs what the steps before left, by number within chain and key."""
+    parts = [f"am AS ({_AMEND})", "c AS (SELECT accession, amends AS root FROM am UNION ALL SELECT c.accession, am.amends FROM c JOIN am ON c.root = am.accession)",
+             "chain AS (SELECT accession, root FROM c WHERE root NOT IN (SELECT accession FROM am) UNION SELECT root, root FROM c WHERE root NOT IN (SELECT accession FROM am))",
+             "ranked AS (SELECT root, accession, row_number() OVER (PARTITION BY root ORDER BY filed_date, form = '4/A', accession) AS r FROM chain JOIN (SELECT DISTINCT accession, filed_date, form FROM si_form_filings) f USING (accession))",
+             "t AS MATERIALIZED (SELECT root, r, accession, seq, code, date, shares, price, lower(regexp_replace(trim(security_title), '\\s+', ' ', 'g')) AS title FROM si_form_trades JOIN ranked USING (accession))",
+             "done0 AS (SELECT accession, seq, accession AS restated_by, accession AS by_acc, seq AS by_seq FROM t WHERE false)"]
+    n = 0
+    for r in range(2, ranks + 1):
+        for k in _KEYS6:
+            num = f"row_number() OVER (PARTITION BY root, {k} ORDER BY r, seq) AS turn"
+            parts.append(f"""done{n + 1} AS MATERIALIZED (SELECT * FROM done{n} UNION ALL SELECT o.accession, o.seq, m.accession, m.accession, m.seq FROM
+ (SELECT *, {num} FROM t WHERE r < {r} AND (accession, seq) NOT IN (SELECT (accession, seq) FROM done{n})) o JOIN
+ (SELECT *, {num} FROM t WHERE r = {r} AND (accession, seq) NOT IN (SELECT (by_acc, by_seq) FROM done{n})) m USING (root, {k}, turn))""")
+            n += 1
+    return "WITH RECURSIVE " + ", ".join(parts) + f" SELECT accession, CAST(seq AS BIGINT) AS seq, restated_by FROM done{n}"
+
+
+@query("ins6_restated_trades", _restated_sql(8))
 def ins6(u):
     return ins.restated_trades(u.form_filings, u.form_trades)
 
