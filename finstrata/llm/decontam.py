@@ -14,7 +14,9 @@ from finstrata.llm.common import written
 from finstrata.llm.wordhash import gram_hashes, token_hashes
 
 #: Words of a seed; of each SPREAD seeds in a row of an item the rarest in the corpus serves.
-SEED_WORDS, SPREAD = 4, 3
+SEED_WORDS, SPREAD = 4, 2
+#: Share of an item's words that an alignment must score, and the words it must score of any item that long.
+SCORE, LEAST_WORDS = 0.4, 8
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 #: Benchmarks are looked up in parts of at most this many words (8 bytes each) in every task.
 PART_WORDS = 4_000_000
@@ -122,18 +124,21 @@ def _passages(items: Items, seeds: dict, keys: Members, words: np.ndarray, thres
                 best = (score, lo + first, lo + last)
                 if score == len(item):
                     break
-        if best[0] >= threshold * len(item):
+        if best[0] >= max(threshold * len(item), min(LEAST_WORDS, len(item))):
             out.append((items.ids[i], best[0] / len(item), int(round(best[0])), best[1], best[2]))
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text",
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and test item it holds: ``doc_id, item_id, score`` (alignment over the item's words, 1 for
     an exact copy), ``matched`` (alignment score in words) and the passage's ``first_word`` and ``last_word``.
 
-    Words are runs of letters and digits, lower-cased. Of each three seeds in a row of an item, the one in the fewest
-    documents serves, however frequent it is, so any copied stretch of six words is found. The benchmark is looked up
+    A word aligned alike counts 1, one changed, left out or put in -1; the best local alignment must reach *threshold* of
+    the item's words, and LEAST_WORDS or the whole of a shorter item.
+
+    Words are runs of letters and digits, lower-cased. Of each two seeds in a row of an item, the one in the fewest
+    documents serves, however frequent it is, so any copied stretch of five words is found. The benchmark is looked up
     inside the tasks that read the documents, in parts of bounded size, so no document is shuffled. The documents that
     hold any n-gram of the benchmark are kept for the second step.
 
@@ -193,7 +198,7 @@ def _contaminated_by(items: Items, docs: DataFrame, threshold: float) -> DataFra
     return near.select("doc_id", "text").mapInPandas(score, FOUND)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE) -> DataFrame:
     """The rows of *docs* (``doc_id``, ``text`` and any others) whose text holds no test item; the decision is the text's, so null ids and copies need no join key but it."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     bad = written(contaminated(docs.select(key.alias("k"), "text"), benchmark, threshold, doc_id="k").select(F.col("doc_id").alias("_k")).distinct(), "decontam-bad")
