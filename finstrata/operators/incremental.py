@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +60,11 @@ def incomplete_tries(runs: DataFrame, days: int = RETRY_DAYS) -> DataFrame:
     return d.select("ticker", n["n"].alias("tries"))
 
 
-def recompute_changed(stored: DataFrame, recomputed: DataFrame, changed: DataFrame) -> DataFrame:
-    """A result table after recomputing only the *changed* companies."""
-    return replace_by_key(stored, recomputed.join(changed.select("ticker").distinct(), "ticker", "left_semi"), ["ticker"])
+def recompute_changed(stored: DataFrame, changed: DataFrame, compute: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A result table after *compute* over the *changed* companies only (it gets their tickers); *rank* then ranks all rows anew, since one company's change moves others."""
+    tickers = changed.select("ticker").distinct()
+    rows = replace_by_key(stored, compute(tickers), ["ticker"])
+    return rows if rank is None else rank(rows)
 
 
 def apply_run(tables: dict[str, DataFrame], run: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -330,8 +330,11 @@ def scr6(u):
     return insider_fields(u)
 
 
-@query("scr7_guru_fields", f"SELECT k.ticker, count(DISTINCT manager) FILTER (action <> 'sold_out') AS gurus_holding, count(DISTINCT manager) FILTER (action IN ('new', 'added')) AS gurus_buying FROM ox_fc x JOIN (SELECT DISTINCT a.ticker, b.ticker AS ct FROM si_fund_cusips a JOIN si_fund_cusips b ON substr(a.cusip, 1, 6) = substr(b.cusip, 1, 6)) k ON k.ct = x.ticker WHERE put_call = '' AND (manager, period) IN (SELECT (manager, period) FROM ox_fl WHERE complete AND {O._NEXTQ} + 48 >= (SELECT max(filed) FROM ox_fs)) GROUP BY k.ticker")
-def scr7(u):
+R["ox_guru_fields"] = f"SELECT k.ticker, count(DISTINCT manager) FILTER (action <> 'sold_out') AS gurus_holding, count(DISTINCT manager) FILTER (action IN ('new', 'added')) AS gurus_buying FROM ox_fc x JOIN (SELECT DISTINCT a.ticker, b.ticker AS ct FROM si_fund_cusips a JOIN si_fund_cusips b ON substr(a.cusip, 1, 6) = substr(b.cusip, 1, 6)) k ON k.ct = x.ticker WHERE put_call = '' AND (manager, period) IN (SELECT (manager, period) FROM ox_fl WHERE complete AND {O._NEXTQ} + 48 >= (SELECT max(filed) FROM ox_fs)) GROUP BY k.ticker"
+
+
+@query("scr7_guru_fields", "SELECT * FROM ox_guru_fields")
+def guru_fields(u):
     from finstrata.operators.funds import share_classes
     return s.guru_fields(O.changes(u), O.quarters(u), share_classes(u.fund_cusips))
 
@@ -347,18 +350,18 @@ def view(u):
         sc = sc.join(ranks, "ticker", "left").join(counts, "ticker", "left")
         ranges = H.latest_ranges(u).select("ticker", "metric", "applicable", "pct_rank", "current")
         fv = H.latest_value(u).where(F.col("fair_value").isNotNull()).select("ticker", F.lit("fair_value").alias("metric"), F.lit(True).alias("applicable"), F.lit(None).cast("double").alias("pct_rank"), F.col("fair_value").alias("current"))
-        return s.wide_view(u.company, ratio_rows(u).drop("sector_class", "total_equity", "total_assets"), u.snapshots, v.intrinsic_summary(D.results(u)), D.results(u), ranges.unionByName(fv), sc, S.indicators(u), insider_fields(u))
+        return s.wide_view(u.company, ratio_rows(u).drop("sector_class", "total_equity", "total_assets"), u.snapshots, v.intrinsic_summary(D.results(u)), D.results(u), ranges.unionByName(fv), sc, S.indicators(u), insider_fields(u), guru_fields(u))
     return u.shared("screen_view", build)
 
 
-_SALT = "SELECT c.ticker, c.sector_class, c.sic, r.fiscal_year, r.roe, r.net_margin, m.current_price, sm.median_bear, sm.median_base, sm.median_bull, oe.value_base AS oe_base, ly.value_base AS lynch_base, x.pe_pct_rank AS pe_pct_10y, x.fair_value AS hist_value, st.predictability_stars, w.roic - w.wacc AS roic_minus_wacc, mg.ncav_per_share, mg.debt_to_ebitda AS scores_debt_to_ebitda, i.value_base AS vi_epv, nn.value_bear AS vi_nnwc, f.ins_buyers_12m, mk.magic_formula_rank"
+_SALT = "SELECT c.ticker, c.sector_class, c.sic, r.fiscal_year, r.roe, r.net_margin, m.current_price, sm.median_bear, sm.median_base, sm.median_bull, oe.value_base AS oe_base, ly.value_base AS lynch_base, x.pe_pct_rank AS pe_pct_10y, x.fair_value AS hist_value, st.predictability_stars, w.roic - w.wacc AS roic_minus_wacc, mg.ncav_per_share, mg.debt_to_ebitda AS scores_debt_to_ebitda, i.value_base AS vi_epv, nn.value_bear AS vi_nnwc, f.ins_buyers_12m, gf.gurus_holding, gf.gurus_buying, mk.magic_formula_rank"
 R["ox_view"] = f"""SELECT *, (median_base - current_price) / current_price AS val_upside_pct, (oe_base - current_price) / current_price AS oe_upside_pct, (lynch_base - current_price) / current_price AS lynch_upside_pct, current_price / hist_value AS price_to_hist_value,
  CASE WHEN ncav_per_share > 0 THEN current_price / ncav_per_share END AS price_to_ncav, (vi_epv - current_price) / current_price AS epv_upside_pct, CASE WHEN vi_nnwc > 0 THEN current_price / vi_nnwc END AS price_to_nnwc FROM ({_SALT}
  FROM si_company c JOIN (SELECT * FROM ox_ratio WHERE rn = 1) r ON r.ticker = c.ticker LEFT JOIN ox_market m ON m.ticker = c.ticker LEFT JOIN ox_summary sm ON sm.ticker = c.ticker LEFT JOIN (SELECT * FROM ox_models WHERE model = 'owner_earnings' AND applicable) oe ON oe.ticker = c.ticker
  LEFT JOIN (SELECT * FROM ox_models WHERE model = 'lynch' AND applicable) ly ON ly.ticker = c.ticker LEFT JOIN (SELECT o.ticker, v.fair_value, CASE WHEN s.n >= 36 THEN s.pct_rank END AS pe_pct_rank FROM ox_months o LEFT JOIN ox_value v ON v.ticker = o.ticker AND v.date = o.date LEFT JOIN ox_stats s ON s.ticker = o.ticker AND s.date = o.date AND s.metric = 'pe' WHERE (o.ticker, o.date) IN (SELECT (ticker, max(date)) FROM ox_months GROUP BY ticker)) x ON x.ticker = c.ticker
  LEFT JOIN ox_stars st ON st.ticker = c.ticker LEFT JOIN ox_wacc w ON w.ticker = c.ticker LEFT JOIN ox_magic mg ON mg.ticker = c.ticker LEFT JOIN (SELECT * FROM ox_indicators WHERE indicator = 'epv' AND applicable) i ON i.ticker = c.ticker LEFT JOIN (SELECT * FROM ox_indicators WHERE indicator = 'ncav' AND applicable) nn ON nn.ticker = c.ticker
- LEFT JOIN ox_ins_fields f ON f.ticker = c.ticker LEFT JOIN ({S._MAGIC}) mk ON mk.ticker = c.ticker) z"""
-_VC = ["ticker", "sector_class", "roe", "current_price", "median_base", "predictability_stars", "ins_buyers_12m", "magic_formula_rank"]
+ LEFT JOIN ox_ins_fields f ON f.ticker = c.ticker LEFT JOIN ox_guru_fields gf ON gf.ticker = c.ticker LEFT JOIN ({S._MAGIC}) mk ON mk.ticker = c.ticker) z"""
+_VC = ["ticker", "sector_class", "roe", "current_price", "median_base", "predictability_stars", "ins_buyers_12m", "gurus_holding", "gurus_buying", "magic_formula_rank"]
 _VX = ["val_upside_pct", "oe_upside_pct", "lynch_upside_pct", "pe_pct_10y", "price_to_hist_value", "price_to_ncav", "epv_upside_pct", "price_to_nnwc", "scores_debt_to_ebitda", "roic_minus_wacc"]
 
 

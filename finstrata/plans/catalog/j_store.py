@@ -320,10 +320,17 @@ def inc3(u):
     return inc.incomplete_tries(u.irun)
 
 
-@query("inc4_recompute_changed", "SELECT ticker, fiscal_year, CASE WHEN ticker IN (SELECT ticker FROM si_splits WHERE ratio = 2) THEN capex + 1 ELSE capex END AS capex FROM si_annual_cal")
+@query("inc4_recompute_changed", """SELECT *, CASE WHEN capex IS NOT NULL THEN row_number() OVER (PARTITION BY fiscal_year, capex IS NULL ORDER BY capex, ticker) END AS place FROM (
+SELECT ticker, fiscal_year, CASE WHEN ticker IN (SELECT ticker FROM si_splits WHERE ratio = 2) THEN capex * 3 + 1 ELSE capex END AS capex FROM si_annual_cal) x""", r="capex")
 def inc4(u):
-    a = u.annual_cal.select("ticker", "fiscal_year", "capex")
-    return inc.recompute_changed(a, a.withColumn("capex", F.col("capex") + 1), u.splits.where(F.col("ratio") == 2))
+    from finstrata.functions.scale import ordinal
+    a = u.annual_cal.select("ticker", "fiscal_year", F.col("capex").cast("double").alias("capex"))
+    again = lambda t: a.join(t, "ticker", "left_semi").withColumn("capex", F.col("capex") * 3 + 1)
+
+    def place(d):
+        known = ordinal(d.where(F.col("capex").isNotNull()), ["fiscal_year"], "capex", "ticker", "place")
+        return d.join(known.select("ticker", "fiscal_year", "place"), ["ticker", "fiscal_year"], "left")
+    return inc.recompute_changed(a, u.splits.where(F.col("ratio") == 2), again, place)
 
 
 @query("inc5_apply_run", "SELECT 'split_events' AS name, count(*) AS rows, sum(ratio) AS total FROM si_splits UNION ALL SELECT 'dividend_events', count(*), sum(amount * 2) FROM si_dividends", r="total")

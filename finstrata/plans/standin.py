@@ -18,7 +18,16 @@ from finstrata.session import ensure_checkpoint_dir
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
-RELATIONS: dict[str, str] = {}
+class _Relations(dict):
+    """SQL by name; a name is given once."""
+
+    def __setitem__(self, name: str, sql: str) -> None:
+        if name in self:
+            raise ValueError(f"relation {name} exists already")
+        super().__setitem__(name, sql)
+
+
+RELATIONS: dict[str, str] = _Relations()
 
 RELATIONS["si_company"] = """
 SELECT concat('S', s_suppkey) AS ticker, concat('000', CAST(s_suppkey + 1000000 AS VARCHAR(20))) AS cik,
