@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finstrata import registry as reg
 from finstrata.functions.scale import exact_percentiles
+from finstrata.operators.periods import derive_identities
 
 # Penalties, required fields, tolerances and bounds of the checks.
 PENALTY = {"high": 25, "medium": 10, "low": 3, "info": 0}
@@ -199,15 +201,41 @@ def field_fill_rates(annual: DataFrame, fields: list[str], by: str | None = None
     return g.unpivot([*keys, "rows"], fields, "field", "fill_rate")
 
 
-def coverage(annual: DataFrame, fields: list[str], core: list[str]) -> DataFrame:
-    """Per company: latest-year fields reported, empty, core fields present, and the core gaps listed."""
+#: The line items a sector has of its own, by the registry.
+SECTOR_CORE = {sector: [r[0] for r in reg.ROWS if sector in r[5].split()] for sector in ("bank", "insurance", "reit")}
+
+
+def coverage_status(annual: DataFrame, fields: list[str]) -> DataFrame:
+    """(ticker, sector_class, fiscal_year, field, status) of each company's latest year: reported, derived from other items, or empty."""
     last = annual.groupBy("ticker").agg(F.max("fiscal_year").alias("fiscal_year"))
     a = annual.join(last, ["ticker", "fiscal_year"], "left_semi")
-    have = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    core_have = sum((F.col(f).isNotNull().cast("int") for f in core), F.lit(0))
-    gaps = F.array_join(F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in core])), ", ")
-    return a.select("ticker", "fiscal_year", have.alias("reported"), (F.lit(len(fields)) - have).alias("empty"),
-                    core_have.alias("core_present"), gaps.alias("core_gaps"))
+    d = derive_identities(a)
+    status = lambda f: F.when(F.col(f).isNull(), "empty").when(F.array_contains("derived", f), "derived").otherwise("reported")
+    wide = d.select("ticker", "sector_class", "fiscal_year", *[status(f).alias(f) for f in fields if f in d.columns], *[F.lit("empty").alias(f) for f in fields if f not in d.columns])
+    return wide.unpivot(["ticker", "sector_class", "fiscal_year"], fields, "field", "status")
+
+
+def _with_core(status: DataFrame) -> DataFrame:
+    own = F.lit(False)
+    for sector, items in SECTOR_CORE.items():
+        own = own | ((F.col("sector_class") == sector) & F.col("field").isin(*items))
+    return status.withColumns({"__core": F.col("field").isin(*CORE), "__own": own, "__filled": (F.col("status") != "empty").cast("int")})
+
+
+def coverage(annual: DataFrame, fields: list[str]) -> DataFrame:
+    """Per company: how many fields of the latest year are reported, derived and empty, and the gaps in the universal and its sector's core."""
+    s = _with_core(coverage_status(annual, fields))
+    count = lambda k: F.sum((F.col("status") == k).cast("int")).cast("int").alias(k)
+    gaps = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c) & (F.col("__filled") == 0), F.col("field")))), ", ")
+    return s.groupBy("ticker", "sector_class", "fiscal_year").agg(count("reported"), count("derived"), count("empty"), gaps("__core").alias("core_gaps"), gaps("__own").alias("sector_gaps"))
+
+
+def coverage_rates(annual: DataFrame, fields: list[str]) -> DataFrame:
+    """(scope, field, companies, fill_rate): the universal core over all companies, each sector's core over its own."""
+    s = _with_core(coverage_status(annual, fields))
+    rate = [F.count("*").alias("companies"), F.avg("__filled").alias("fill_rate")]
+    every = s.where("__core").groupBy(F.lit("universal").alias("scope"), "field").agg(*rate)
+    return every.unionByName(s.where("__own").groupBy(F.col("sector_class").alias("scope"), "field").agg(*rate))
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

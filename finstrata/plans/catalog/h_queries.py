@@ -125,9 +125,29 @@ def dq11(u):
     return q.field_fill_rates(annual(u), _FILL, "sector_class")
 
 
-@query("dq12_coverage", "SELECT ticker, fiscal_year, CAST(" + " + ".join(f"({f} IS NOT NULL)::INT" for f in _FILL) + f" AS INT) AS reported, CAST({len(_FILL)} - (" + " + ".join(f"({f} IS NOT NULL)::INT" for f in _FILL) + ") AS INT) AS empty, CAST(" + " + ".join(f"({f} IS NOT NULL)::INT" for f in q.CORE) + " AS INT) AS core_present, concat_ws(', ', " + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in q.CORE) + ") AS core_gaps FROM ox_acal WHERE rn = 1")
+# Total liabilities are left to be derived in odd companies, net interest income is missing in every third.
+_COVER = [*q.CORE, *[f for items in q.SECTOR_CORE.values() for f in items], "capex", "goodwill"]
+_HAS = set("revenue net_income total_assets total_liabilities total_equity operating_cash_flow net_interest_income noninterest_income noninterest_expense total_deposits total_loans premiums_earned claims_incurred benefits_and_expenses capex goodwill".split())
+R["ox_cover"] = "SELECT * REPLACE (CASE WHEN CAST(substr(ticker, 2) AS INT) % 2 = 0 THEN total_liabilities END AS total_liabilities, CASE WHEN CAST(substr(ticker, 2) AS INT) % 3 > 0 THEN net_interest_income END AS net_interest_income) FROM ox_acal WHERE rn = 1"
+_ST = lambda f: (f"CASE WHEN total_liabilities IS NOT NULL THEN 'reported' WHEN total_assets - total_equity IS NOT NULL THEN 'derived' ELSE 'empty' END" if f == "total_liabilities"
+                 else "CASE WHEN revenue IS NOT NULL THEN 'reported' WHEN net_interest_income + noninterest_income IS NOT NULL THEN 'derived' ELSE 'empty' END" if f == "revenue"
+                 else f"CASE WHEN {f} IS NOT NULL THEN 'reported' ELSE 'empty' END" if f in _HAS else "'empty'")
+R["ox_coverlong"] = " UNION ALL ".join(f"SELECT ticker, sector_class, fiscal_year, '{f}' AS field, {_ST(f)} AS status, {str(f in q.CORE).lower()} AS core, {'sector_class = ' + repr(next(k for k, v in q.SECTOR_CORE.items() if f in v)) if any(f in v for v in q.SECTOR_CORE.values()) else 'false'} AS own FROM ox_cover" for f in _COVER)
+
+
+def _cover(u):
+    n = F.substring("ticker", 2, 9).cast("int")
+    return annual(u).withColumns({"total_liabilities": F.when(n % 2 == 0, F.col("total_liabilities")), "net_interest_income": F.when(n % 3 > 0, F.col("net_interest_income"))})
+
+
+@query("dq12_coverage", "SELECT ticker, sector_class, fiscal_year, " + ", ".join(f"CAST(count(*) FILTER (status = '{k}') AS INT) AS {k}" for k in ("reported", "derived", "empty")) + ", coalesce(string_agg(field, ', ' ORDER BY field) FILTER (core AND status = 'empty'), '') AS core_gaps, coalesce(string_agg(field, ', ' ORDER BY field) FILTER (own AND status = 'empty'), '') AS sector_gaps FROM ox_coverlong GROUP BY ticker, sector_class, fiscal_year")
 def dq12(u):
-    return q.coverage(annual(u), _FILL, q.CORE)
+    return q.coverage(_cover(u), _COVER)
+
+
+@query("dq12_coverage_rates", "SELECT 'universal' AS scope, field, count(*) AS companies, avg((status <> 'empty')::INT) AS fill_rate FROM ox_coverlong WHERE core GROUP BY field UNION ALL SELECT sector_class, field, count(*), avg((status <> 'empty')::INT) FROM ox_coverlong WHERE own GROUP BY sector_class, field", r="fill_rate")
+def dq12r(u):
+    return q.coverage_rates(_cover(u), _COVER)
 
 
 R["si_runs"] = "SELECT concat('S', l_suppkey) AS ticker, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS collected_at, max(l_orderkey) AS run_id, CAST(100 - min(l_linenumber) * 3 - CAST(count(*) AS INT) % 20 AS INT) AS quality_score FROM lineitem GROUP BY l_suppkey, date_trunc('month', l_shipdate)"
