@@ -155,6 +155,31 @@ def his2(u):
     return h.month_end_closes(u.bars)
 
 
+# Odd companies' bars are adjusted for dividends; every company has two factors that are no share splits.
+R_ADJ = "CAST(substr(ticker, 2) AS INT) % 2 = 1"
+standin.RELATIONS["si_adj_bars"] = f"SELECT ticker, date, close, {R_ADJ} AS dividend_adjusted FROM si_bars"
+standin.RELATIONS["si_div_factors"] = "SELECT ticker, date, CAST(1 / (1 + amount / 1000) AS DOUBLE) AS factor FROM si_dividends"
+standin.RELATIONS["si_spin_offs"] = """SELECT ticker, DATE '1997-05-20' AS date, CAST(1.281 AS DOUBLE) AS ratio FROM si_company UNION ALL SELECT ticker, DATE '1999-02-10', CAST(1.589 AS DOUBLE) FROM si_company
+UNION ALL SELECT ticker, DATE '1998-08-08', CAST(2.0 AS DOUBLE) FROM si_company UNION ALL SELECT ticker, DATE '2035-01-01', CAST(1.77 AS DOUBLE) FROM si_company"""
+_PF = "CASE WHEN m.date < DATE '1997-05-20' THEN 1.281 * 1.589 WHEN m.date < DATE '1999-02-10' THEN 1.589 ELSE 1.0 END"
+
+
+@query("his2_market_closes", f"SELECT m.ticker, m.date, CASE WHEN {R_ADJ.replace('ticker', 'm.ticker')} THEN m.close / coalesce((SELECT product(f.factor) FROM si_div_factors f WHERE f.ticker = m.ticker AND f.date > m.date), 1) ELSE m.close END AS close FROM ox_months m", r="close")
+def his2m(u):
+    return h.month_end_closes(u.adj_bars, u.div_factors)
+
+
+@query("his2_since_listing", "SELECT p.ticker, p.period_end FROM ox_points p JOIN (SELECT ticker, min(date) AS f FROM si_bars WHERE date >= DATE '1996-09-01' GROUP BY ticker) b ON b.ticker = p.ticker WHERE p.period_end >= f")
+def his2l(u):
+    late = u.bars.withColumn("close", F.when(F.col("date") >= F.lit("1996-09-01").cast("date"), F.col("close")))
+    return h.since_listing(points(u), late).select("ticker", "period_end")
+
+
+@query("his6_price_factor", f"SELECT m.ticker, m.date, round(market_cap * {_PF} / 10) AS market_cap, pe * {_PF} AS pe, ps * {_PF} AS ps, pb * {_PF} AS pb, div_yield FROM ox_multiples m", r="pe ps pb div_yield")
+def his6f(u):
+    return h.multiples(h.with_price_factor(joined(u), u.spin_offs, u.bars)).select("ticker", "date", F.round(F.col("market_cap") / 10).alias("market_cap"), "pe", "ps", "pb", "div_yield")
+
+
 @query("his3_ttm_points", "SELECT ticker, period_end, shares, earnings, revenue, common_equity, fcf, ebitda, net_debt, ffo, debt_missing FROM ox_points")
 def his3(u):
     return points(u).drop("sector_class", "known_on")
@@ -220,6 +245,13 @@ def his9(u):
 _LABEL = "CASE WHEN fair_value > 0 AND close > 0 THEN CASE WHEN close / fair_value < 0.7 THEN 'far below' WHEN close / fair_value < 0.9 THEN 'below' WHEN close / fair_value <= 1.1 THEN 'near' WHEN close / fair_value <= 1.3 THEN 'above' ELSE 'far above' END END"
 
 
+@query("his9_fair_value_row", "SELECT l.ticker, l.date AS as_of, v.fair_value IS NOT NULL AS applicable, v.fair_value * 1.5 AS current FROM (SELECT ticker, max(date) AS date FROM ox_months GROUP BY ticker) l LEFT JOIN ox_value v ON v.ticker = l.ticker AND v.date = l.date", r="current")
+def his9v(u):
+    implied = h.implied_values(stats(u), monthly(u))
+    r = h.ranges(stats(u), monthly(u), implied, F.lit(1.5), value=h.historical_value(implied))
+    return r.where(F.col("metric") == "fair_value").select("ticker", "as_of", "applicable", "current")
+
+
 @query("his10_value_label", f"SELECT m.ticker, m.date, m.close, v.fair_value, {_LABEL} AS label FROM ox_months m LEFT JOIN ox_value v ON m.ticker = v.ticker AND m.date = v.date WHERE (m.ticker, m.date) IN (SELECT (ticker, max(date)) FROM ox_months GROUP BY ticker)", r="fair_value")
 def his10(u):
     v = latest_value(u)
