@@ -337,9 +337,9 @@ def res24(u):
     return rs.changed_days(u.f_main, registry(u))
 
 
-@query("res25_vintage_views", f"SELECT ticker, fiscal_year, accn, field, count(*) AS n FROM (SELECT DISTINCT ticker, fiscal_year, accn, field FROM ox_cand WHERE {_AND}) x GROUP BY ALL")
+@query("res25_vintage_views", f"SELECT ticker, fiscal_year, accn, field, arg_max(v, {_ORD}) AS val FROM ox_cand WHERE {_AND} GROUP BY ticker, fiscal_year, accn, field", r="val")
 def res25(u):
-    return rs.vintage_views(rs.vintages(u.f_main, registry(u))).groupBy("ticker", "fiscal_year", F.col("filing").alias("accn"), "field").agg(F.count("*").alias("n"))
+    return rs.vintage_views(rs.vintages(u.f_main, registry(u))).select("ticker", "fiscal_year", F.col("filing").alias("accn"), "field", "val")
 
 
 # ---- PIT: rows known from each filing day; a day in eleven drops the year from the record.
