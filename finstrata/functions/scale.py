@@ -66,16 +66,17 @@ def percentile_of(df: DataFrame, groups: Sequence[str], value: str, lower_better
 
 
 def ordinal(df: DataFrame, groups: Sequence[str], value: str, tie: str, out: str,
-            descending: bool = False) -> DataFrame:
+            descending: bool = False, prefix: int = 6) -> DataFrame:
     """Adds the 1-based position by (*value*, *tie* ascending) inside the group; *tie* is a unique string.
 
-    Rows of equal value are numbered within prefixes of *tie*, so even a heavy tie is split.
+    Rows of equal value are numbered within the first *prefix* characters of *tie*, so even a heavy tie is split; a
+    zero-padded number needs a prefix that reaches its changing digits.
     """
     g = list(groups)
     cum = _cumulative_counts(df, g, value)
     start = (F.col("__total") - F.col("__le")) if descending else (F.col("__le") - F.col("__n"))
     base = cum.select(*g, value, start.alias("__start"))
-    marked = df.where(F.col(value).isNotNull()).withColumn("__p", F.substring(F.col(tie), 1, 6))
+    marked = df.where(F.col(value).isNotNull()).withColumn("__p", F.substring(F.col(tie), 1, prefix))
     parts = marked.groupBy(*g, value, "__p").agg(F.count(F.lit(1)).alias("__pn"))
     w = Window.partitionBy(*g, value).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__skip", F.coalesce(F.sum("__pn").over(w), F.lit(0))).drop("__pn")

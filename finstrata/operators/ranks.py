@@ -65,7 +65,7 @@ def magic_rank(scores: DataFrame) -> DataFrame:
     # Positions are unique, so one number orders (sum, earnings-yield position).
     keyed = both.withColumn("__sum", (F.col("ey_rank") + F.col("roc_rank")).cast("double"))
     keyed = keyed.withColumn("__tie", F.lpad(F.col("ey_rank").cast("string"), 12, "0"))
-    first = ordinal(keyed, [], "__sum", "__tie", "magic_formula_rank")
+    first = ordinal(keyed, [], "__sum", "__tie", "magic_formula_rank", prefix=10)
     return first.select("ticker", "ey_rank", "roc_rank", "magic_formula_rank")
 
 
