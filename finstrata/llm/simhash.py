@@ -72,12 +72,12 @@ class Planes:
 
         Two planes at a time go through a full adder into counters of ceil(log2(radius + 1)) bits, one for each of the
         64 rows; counters begin high enough to overflow just past the radius. Words whose rows have all overflowed are
-        abandoned.
+        abandoned. A radius of BITS takes every pair uncounted.
         """
         bits = max(1, int(radius).bit_length())
         begin = (1 << bits) - 1 - radius
         count = [np.full(len(q), _ALL if begin >> k & 1 else np.uint64(0)) for k in range(bits)]
-        for k in range(0, BITS, 2):
+        for k in range(0, BITS if radius < BITS else 0, 2):
             x = self.planes[k][w] ^ self.own[k][q]
             y = self.planes[k + 1][w] ^ self.own[k + 1][q]
             either = x ^ y
@@ -134,7 +134,7 @@ def spanning_edges(members: DataFrame, radius: int, verify: Callable | None = No
     *extra* columns) holds too, if given. Each group is whole in one task, in which it is a run of sorted rows; runs
     are handled some thousand rows at a time. Of a group's links only a spanning forest is returned.
     """
-    columns = [*KEY, "node", "fp", *(extra or [])]
+    columns = list(dict.fromkeys([*KEY, "node", "fp", *(extra or [])]))
 
     def edges_of(rows: pd.DataFrame) -> pd.DataFrame:
         keys, node = rows[KEY].to_numpy(np.int64), rows["node"].to_numpy(np.int64)

@@ -211,3 +211,34 @@ def test_graph_recall_over_shards(spark, monkeypatch):
     exact = hnsw._unit(x)
     want = (exact @ exact.T >= 0.95).sum(axis=1) - 1
     assert (out["n_links"].to_numpy() <= want).all() and out["n_links"].sum() >= 0.98 * want.sum()
+
+
+def test_near_copies_with_repeats_and_far_fingerprints(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for k in range(20):
+        body, line = _prose(rng, 200, 5000), _prose(rng, 8, 5000)
+        rows += [(10 * k, " ".join(body + line)), (10 * k + 1, " ".join(body + line * 60))]  # one shingle set but for the seams, far fingerprints
+        short = _prose(rng, 26, 5000)
+        rows += [(10 * k + 2, " ".join(short)), (10 * k + 3, " ".join(short[1:] + ["end"]))]  # 21 of 23 shingles
+    sets = [{t[i:i + 5] for i in range(len(t) - 4)} for t in (tuple(t.split()) for _, t in rows)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = sorted({rows[r][0] for r in _groups(len(rows), pairs)})
+    assert len(want) == 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_text.drop_near_copies(df).collect()) == want
+    # whatever the fingerprints say
+    assert sorted(r.doc_id for r in near_text.drop_near_copies(df, radius=0).collect()) == want
+
+
+def test_counters_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 32, rng.integers(1, 400), dtype=np.uint32)
+        sets += [np.unique(base), np.unique(np.concatenate([base[len(base) // 9:], rng.integers(0, 1 << 32, rng.integers(0, len(base) // 9 + 1), dtype=np.uint32)]))]
+    sizes, slots = np.array([len(s) for s in sets]), np.array([np.bincount(s % 256, minlength=256) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    true = np.array([near_text.similarity(sets[i], sets[j]) >= 0.8 for i, j in zip(a, b, strict=True)])
+    may = near_text.may_link(a, b, sizes, slots, 0.8)
+    assert true.sum() > 20 and may[true].all() and may.sum() < 2 * true.sum() + 60
