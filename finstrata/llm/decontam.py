@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -15,8 +16,8 @@ from finstrata.llm.wordhash import gram_hashes, token_hashes
 
 #: Words of a seed; of each SPREAD seeds in a row of an item the rarest in the corpus serves.
 SEED_WORDS, SPREAD = 4, 2
-#: Share of an item's words that an alignment must score, and the words it must score of any item that long.
-SCORE, LEAST_WORDS = 0.4, 8
+#: Share of an item's words that alignments must score, the words each must score of any item that long, and the words that suffice of an item of any length.
+SCORE, LEAST_WORDS, ENOUGH_WORDS = 0.4, 8, 30
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 #: Benchmarks are looked up in parts of at most this many words (8 bytes each) in every task.
 PART_WORDS = 4_000_000
@@ -98,34 +99,63 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bar(words: int, threshold: float) -> float:
+    """The score, in words, from which a document holds an item of so many *words*."""
+    return min(max(threshold * words, min(LEAST_WORDS, words)), max(ENOUGH_WORDS, LEAST_WORDS))
+
+
+def places(item: np.ndarray, words: np.ndarray, spans: list[list[int]], least: float) -> Iterator[tuple[float, int, int]]:
+    """(score, first, last word) of the places in *spans* of *words* that align with *item*, best first, down to *least*.
+
+    Places share no word of the item: what one has aligned is taken out of it for the next.
+    """
+    left, taken = item.copy(), 0
+    nothing = words.max() + np.uint64(1) if len(words) else np.uint64(0)  # equals no word
+    heap = [(-float(len(item)), lo, hi, -1, 0, 0) for lo, hi in spans]  # a score is an upper bound until it is of this *taken*
+    heapq.heapify(heap)
+    while heap:
+        score, lo, hi, of, first, last = heapq.heappop(heap)
+        if of != taken:
+            score, first, last = align(left, words[lo:hi])
+            if score >= least:
+                heapq.heappush(heap, (-score, lo, hi, taken, first, last))
+            continue
+        yield -score, lo + first, lo + last
+        _, a, b = align(words[lo + first: lo + last + 1], left)
+        left[a: b + 1] = nothing
+        taken += 1
+        for x, y in ((lo, lo + first), (lo + last + 1, hi)):
+            if y - x >= least:
+                heapq.heappush(heap, (score, x, y, -1, 0, 0))
+
+
 def _passages(items: Items, seeds: dict, keys: Members, words: np.ndarray, threshold: float) -> list[tuple]:
-    """(item, score, matched words, first, last word) of the items that *words* holds, the best place of each."""
-    at: dict[int, list[tuple[int, int]]] = {}
+    """(item, score, matched words, first, last word) of the items that *words* holds: the best place of each, or if that isn't enough, all its places."""
+    at: dict[int, set[int]] = {}  # item -> where it would begin
     for n in {min(SEED_WORDS, len(w)) for w in items.words if len(w)}:
         grams = gram_hashes(words, n)
         for k in keys.where(grams):
             for i, j in seeds.get(int(grams[k]), ()):
                 if min(SEED_WORDS, len(items.words[i])) == n:
-                    at.setdefault(i, []).append((int(k), j))
+                    at.setdefault(i, set()).add(int(k) - j)
     out = []
-    for i, places in at.items():
+    for i, hits in at.items():
         item = items.words[i]
-        slack, best, upto = len(item) // 2 + 2, (0.0, -1, -1), -1
+        slack = len(item) // 2 + 2
         spans: list[list[int]] = []
-        for k, j in sorted(places):
-            lo, hi = max(0, k - j - slack), min(len(words), k - j + len(item) + slack)
+        for begin in sorted(hits):
+            lo, hi = max(0, begin - slack), min(len(words), begin + len(item) + slack)
             if spans and lo <= spans[-1][1] and spans[-1][1] - spans[-1][0] < 8 * len(item) + 64:
                 spans[-1][1] = max(spans[-1][1], hi)
             else:
                 spans.append([lo, hi])
-        for lo, hi in spans:
-            score, first, last = align(item, words[lo:hi])
-            if score > best[0]:
-                best = (score, lo + first, lo + last)
-                if score == len(item):
-                    break
-        if best[0] >= max(threshold * len(item), min(LEAST_WORDS, len(item))):
-            out.append((items.ids[i], best[0] / len(item), int(round(best[0])), best[1], best[2]))
+        enough = bar(len(item), threshold)
+        score, first, last = 0.0, len(words), -1
+        for got, a, b in places(item, words, spans, min(LEAST_WORDS, len(item))):
+            score, first, last = score + got, min(first, a), max(last, b)
+            if score >= enough:
+                out.append((items.ids[i], score / len(item), int(round(score)), first, last))
+                break
     return out
 
 
@@ -134,8 +164,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE
     """A row for each document and test item it holds: ``doc_id, item_id, score`` (alignment over the item's words, 1 for
     an exact copy), ``matched`` (alignment score in words) and the passage's ``first_word`` and ``last_word``.
 
-    A word aligned alike counts 1, one changed, left out or put in -1; the best local alignment must reach *threshold* of
-    the item's words, and LEAST_WORDS or the whole of a shorter item.
+    A word aligned alike counts 1, one changed, left out or put in -1. Local alignments must reach *threshold* of the
+    item's words, or ENOUGH_WORDS of an item of any length; each of them LEAST_WORDS, or the whole of a shorter item.
+    The best alignment is told if it is enough, else the best ones together until they are: their sum, and the first
+    and last word of them all. They share no word of the item, so a passage that is repeated counts once.
 
     Words are runs of letters and digits, lower-cased. Of each two seeds in a row of an item, the one in the fewest
     documents serves, however frequent it is, so any copied stretch of five words is found. The benchmark is looked up

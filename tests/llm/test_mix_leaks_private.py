@@ -184,3 +184,20 @@ def test_no_python_on_the_way(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     for d in (pii.find(df), pii.sanitise(df)):
         assert not re.search("Python|Pandas|Arrow", d._jdf.queryExecution().executedPlan().toString())
+
+
+def test_partial_copies_of_long_items(spark):
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    long, mid, short = prose(300), prose(400), prose(48)
+    # a hundred words of 300; three parts of a short item, near and far apart; parts of 20 words of a long one; a question with its context left out
+    docs = {1: prose(40) + long[90:190] + prose(40), 2: prose(30) + short[32:] + prose(9) + short[:16] + prose(200) + short[16:32] + prose(20),
+            3: prose(50) + mid[:20] + prose(50) + mid[200:220] + prose(900) + mid[350:370], 4: prose(5) + mid[360:] + prose(5),
+            # one part of a short item, also repeated; little of a long one
+            10: prose(30) + short[:16] + prose(30), 11: (prose(9) + short[:16]) * 6, 12: prose(90) + long[20:40] + prose(90), 13: prose(3000)}
+    df = spark.createDataFrame([(i, " ".join(w), "s", "t") for i, w in docs.items()], DOCS)
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(mid))], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, bench).collect()}
+    assert sorted(out) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+    assert out[1, 1].matched >= 100 and out[1, 1].first_word <= 40 and out[2, 2].matched >= 32 and out[3, 3].matched >= 40
+    assert sorted(r.doc_id for r in decontam.remove_contaminated(df, bench).collect()) == [10, 11, 12, 13]
