@@ -113,3 +113,21 @@ def test_warc_archives_roll_and_damage_is_found(spark):
     packed = zstandard.ZstdCompressor().compress(b"raw dictionary content")
     assert list(warc.frames(io.BytesIO(struct.pack("<II", magic, len(packed)) + packed))) == []
     assert isinstance(out[0], Row)
+
+
+def test_wrappers_named_after_noise_keep_their_article():
+    from finstrata.llm.html_extract import main_text
+    body = "A long opening paragraph of the article, long enough for any block of lines to surge past its bar."
+    aside = '<div class="{}"><p>Side text of some length that is no part of the article.</p></div>'
+    for names in ("has-sidebar", "no-sidebar", "right-sidebar", "with-ads", "layout menu-left", "sidebar"):
+        for tag in ("article", "main"):
+            page = f'<div class="{names}">{aside.format("sidebar")}<{tag}><p>{body}</p><div class="related">More</div></{tag}></div><div class="site-footer">Foot</div>'
+            assert main_text(page) == body, (names, tag)
+        if names != "sidebar":
+            assert main_text(f'<div class="{names}">{aside.format("left-sidebar")}<p>{body}</p><p>{body}</p></div><div class="site-footer">Foot</div>') == f"{body} {body}", names
+    # an article of a noise element isn't the page's where another is
+    assert main_text(f'<div class="related"><article>Teaser</article></div><article><p>{body}</p></article>') == body
+    # short text after a dive
+    noise = '<div class="ad">Buy this</div>' * 4
+    assert main_text(f"<p>{body}</p>{noise}<p>The end.</p>") == f"{body} The end."
+    assert main_text(aside.format("left-sidebar") + f"<p>{body}</p>") == body
