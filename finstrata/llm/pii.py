@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from finstrata.llm.common import written
 
-#: The share of a protected value's information that a term may disclose, and the different lines that must show it.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: The share of a protected value's information that a term may disclose, and the documents that must show it.
+DISCLOSURE, SUPPORT = 0.9, 1
+#: Lines above and below a value's line in which terms are its company.
+WINDOW = 5
 #: Letters of the shortest term.
 TERM_LETTERS = 3
 
@@ -66,13 +68,15 @@ def base_spans(text: Column) -> Column:
 
 
 def _contexts(text: Column, base: Column) -> Column:
-    """The lines that hold a base span, each with its place and the distinct values in it."""
+    """For each line that holds a base span, the lines around it, the distinct values in it and those in all of them."""
     def step(acc: Column, line: Column) -> Column:
         end = acc["at"] + F.length(line)
         held = F.filter(base, lambda s: (s["start"] >= acc["at"]) & (s["end"] <= end))
-        entry = F.struct(acc["at"].alias("at"), line.alias("line"), F.array_distinct(F.transform(held, lambda s: s["value"])).alias("values"))
-        return F.struct((end + 1).alias("at"), F.when(F.size(held) > 0, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string,values:array<string>>>").alias("out"))
+        window = F.array_join(F.slice(acc["lines"], F.greatest(acc["i"] - WINDOW, F.lit(0)) + 1, F.least(acc["i"], F.lit(WINDOW)) + 1 + WINDOW), "\n")
+        near = F.filter(base, lambda s: (s["start"] >= acc["at"] - F.length(window)) & (s["end"] <= acc["at"] + F.length(window)) & F.contains(window, s["value"]))
+        entry = F.struct(window.alias("window"), F.array_distinct(F.transform(held, lambda s: s["value"])).alias("values"), F.array_distinct(F.transform(near, lambda s: s["value"])).alias("near"))
+        return F.struct((end + 1).alias("at"), (acc["i"] + 1).alias("i"), acc["lines"].alias("lines"), F.when(F.size(held) > 0, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.split(text, "\n").alias("lines"), F.array().cast("array<struct<window:string,values:array<string>,near:array<string>>>").alias("out"))
     return F.aggregate(F.split(text, "\n"), begin, step, lambda acc: acc["out"])
 
 
@@ -80,45 +84,48 @@ def _terms(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= TERM_LETTERS))
 
 
-def disclosing_terms(texts: DataFrame, contexts: DataFrame, lines: Column, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(texts: DataFrame, contexts: DataFrame, copies: DataFrame, total: Column, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``value, term`` where a term's company discloses a protected value.
 
-    *texts* has ``text``, *contexts* ``line, values``; *lines* is the number of lines of the corpus. A value's
-    information is -log p(value) and what a term tells of it log(p(value, term) / (p(value) p(term))), with lines as
-    the unit. A term is told on if that share reaches *disclosure* and *support* different lines show the pair. All
-    counts are over the whole corpus; a term's own count is taken for terms of such pairs only.
+    *texts* has ``text``, *contexts* ``key, window, values, near``, *copies* how many documents have a ``key``; *total* is
+    the number of documents. A value's information is -log p(value) and what a term tells of it log(p(value, term) /
+    (p(value) p(term))), with documents as the unit and the lines around a value as its company. A term is told on if that
+    share reaches *disclosure* with one more document counted that has the term without the value, so that chance company
+    does not count as certain; or, since that leaves out rare values of small corpora, if value and term nearly always
+    stand together: if it reaches *disclosure* of the information of both, -log p(value, term). At least *support*
+    documents must show the pair. All counts are over the whole corpus.
     """
-    bare = F.aggregate("values", F.col("line"), lambda acc, v: F.replace(acc, v, F.lit(" ")))
-    held = contexts.select(F.xxhash64("line").alias("h"), _terms(bare).alias("terms"), "values")
-    each = held.select("h", "terms", F.explode("values").alias("value"))
-    of_value = each.groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = each.select("h", "value", F.explode("terms").alias("term")).groupBy("value", "term", "h").agg(F.count("*").alias("n")).groupBy("value", "term").agg(
-        F.sum("n").alias("n_both"), F.count("*").alias("shown")).where(F.col("shown") >= support)
-    pairs = written(pairs.join(of_value, "value"), "pii-pairs")
-    words = texts.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term"))
-    of_term = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    told = F.log(F.col("n_both") * lines / (F.col("n_value") * F.col("n_term")))
-    return pairs.join(of_term, "term").where(told >= disclosure * F.log(lines / F.col("n_value"))).where(lines > F.col("n_value")).select("value", "term")
+    bare = F.aggregate("near", F.col("window"), lambda acc, v: F.replace(acc, v, F.lit(" ")))
+    held = contexts.distinct().select("key", _terms(bare).alias("terms"), F.explode("values").alias("value"))
+    each = held.groupBy("key", "value").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).join(copies, "key")
+    each = written(each.select("value", "terms", "copies"), "pii-company")
+    of_value = each.groupBy("value").agg(F.sum("copies").alias("n_value"))
+    pairs = each.select("value", "copies", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= support)
+    of_term = texts.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    lift = F.col("n_both") * total / F.col("n_value")
+    told = (F.log(lift / (F.col("n_term") + 1)) >= disclosure * F.log(total / F.col("n_value"))) | (F.log(lift / F.col("n_term")) >= disclosure * F.log(total / F.col("n_both")))
+    return pairs.join(of_value, "value").join(of_term, "term").where(told).where(total > F.col("n_value")).select("value", "term")
 
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans, key`` for each row of *df*: the base spans and all spans (``start, kind,
     end, value``; kind as a place in KINDS) of the whole text, by start, then kind.
 
-    Terms are marked in the lines that hold the value they disclose. Null texts are empty and have no spans; ids may be
+    Terms are marked throughout the documents that hold the value they disclose. Null texts are empty and have no spans; ids may be
     null or repeated, since a text's spans depend on the text and the corpus only. Other columns are left out.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("key"))
     base = docs.withColumn("base", base_spans(F.col("text"))).withColumns(
-        {"n_lines": F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, "contexts": F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base")))}).drop("text")
+        {"contexts": F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))), "text": F.when(F.size("base") > 0, F.col("text"))})
     base = written(base, "pii-base")
-    lines = F.lit(float(base.agg(F.coalesce(F.sum("n_lines"), F.lit(0))).first()[0]))
-    held = base.where(F.col("contexts").isNotNull()).select("key", F.explode("contexts").alias("c")).select("key", "c.at", "c.line", "c.values")
-    pairs = written(disclosing_terms(docs.select("text"), held, lines, disclosure, support), "pii-terms")
-    marked = held.distinct().select("key", "at", "line", F.explode("values").alias("value")).join(pairs, "value").groupBy("key", "at", "line").agg(F.collect_set("term").alias("terms"))
-    marked = marked.withColumn("s", spans_of(F.col("line"), WORD, KINDS.index("term"), lambda w: F.array_contains("terms", F.lower(w)), F.col("at")))
-    extra = written(marked.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("extra")), "pii-extra")
+    total = F.lit(float(base.count()))
+    held = base.where(F.col("contexts").isNotNull())
+    around = held.select("key", F.explode("contexts").alias("c")).select("key", "c.window", "c.values", "c.near")
+    pairs = written(disclosing_terms(docs.select("text"), around, held.groupBy("key").agg(F.count("*").alias("copies")), total, disclosure, support), "pii-terms")
+    marked = around.select("key", F.explode("values").alias("value")).distinct().join(pairs, "value").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    marked = held.select("key", "text").dropDuplicates(["key"]).join(marked, "key")
+    extra = written(marked.select("key", spans_of(F.col("text"), WORD, KINDS.index("term"), lambda w: F.array_contains("terms", F.lower(w))).alias("extra")), "pii-extra")
     overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.filter(F.coalesce("extra", F.array().cast(SPAN)), lambda s: ~overlaps(s))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

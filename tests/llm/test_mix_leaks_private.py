@@ -201,3 +201,14 @@ def test_partial_copies_of_long_items(spark):
     assert sorted(out) == [(1, 1), (2, 2), (3, 3), (4, 3)]
     assert out[1, 1].matched >= 100 and out[1, 1].first_word <= 40 and out[2, 2].matched >= 32 and out[3, 3].matched >= 40
     assert sorted(r.doc_id for r in decontam.remove_contaminated(df, bench).collect()) == [10, 11, 12, 13]
+
+
+def test_terms_of_rare_values(spark):
+    # one document and one copied; names above, below and far from the address, and common words
+    rows = [(0, "Quillon\nthe mayor\nmail ann@town.org or call\nBrastock\n" + "the mayor\n" * 9 + "signed quillon"), *[(1 + i, "Vexler wrote\nto bob@city.net") for i in range(50)]]
+    rows += [(100 + i, f"the mayor wrote to mail or call, signed number {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == "[term]\nthe mayor\nmail [email] or call\n[term]\n" + "the mayor\n" * 9 + "signed [term]"
+    assert {clean[1 + i] for i in range(50)} == {"[term] wrote\nto [email]"}
+    assert all(clean[100 + i] == rows[51 + i][1] for i in range(200))
