@@ -10,11 +10,17 @@ from finstrata.operators.facts import MATURITIES, NONCURRENT
 from finstrata.operators.periods import YEAR_DAYS
 from finstrata.operators.split_series import SCALE_TOLERANCE, SCALES
 
-# Which concepts can name a quarter's debt line, and which figures about debt are none.
-DEBT_WORDS = "(Debt|Notes|Loans?|Borrowing|Bonds?|Debenture|LineOfCredit|CapitalLease|FinanceLease)"
-NO_LINE_WORDS = ("(Receivable|FairValue|Face|Principal|Repayment|Capacity|Available|Unused|Remaining|Acquired|Assumed|Asset|Investment|Securities|"
-                 "OperatingLease|Lessee|Equity|Component|Interest|Issuance|Discount|Premium|Unamortized|LiabilitiesOtherThan)")
-NO_LONG_TERM = ("DebtLongtermAndShorttermCombinedAmount", "DebtAndCapitalLeaseObligations", "DebtInstrumentCarryingAmount")
+#: Balance-sheet concepts of the public taxonomy that are a line of long-term borrowings: without what is due within a
+#: year, and as a whole.
+NONCURRENT_LINES = (
+    "LongTermDebtNoncurrent LongTermDebtAndCapitalLeaseObligations LongTermNotesPayable LongTermNotesAndLoans LongTermLoansPayable LongTermLoansFromBank LongTermLineOfCredit "
+    "UnsecuredLongTermDebt SecuredLongTermDebt SeniorLongTermNotes SubordinatedLongTermDebt ConvertibleLongTermNotesPayable ConvertibleSubordinatedDebtNoncurrent ConvertibleDebtNoncurrent "
+    "OtherLongTermDebtNoncurrent OtherLongTermNotesPayable OtherLoansPayableLongTerm ConstructionLoanNoncurrent MediumtermNotesNoncurrent JuniorSubordinatedDebentureOwedToUnconsolidatedSubsidiaryTrustNoncurrent "
+    "NotesPayableRelatedPartiesNoncurrent FinanceLeaseLiabilityNoncurrent CapitalLeaseObligationsNoncurrent").split()
+WHOLE_LINES = (
+    "LongTermDebt LongTermDebtAndCapitalLeaseObligationsIncludingCurrentMaturities NotesPayable NotesAndLoansPayable NotesPayableToBank NotesPayableRelatedParties OtherNotesPayable SeniorNotes "
+    "ConvertibleNotesPayable ConvertibleDebt MediumtermNotes SecuredDebt UnsecuredDebt SubordinatedDebt JuniorSubordinatedNotes LoansPayable LoansPayableToBank OtherLoansPayable LineOfCredit "
+    "BankLoans OtherBorrowings OtherLongTermDebt LoansPayableLongTerm ConstructionLoan").split()
 ANNUAL_FORMS, QUARTER_FORMS = ("10-K", "10-K/A", "20-F", "20-F/A", "40-F", "40-F/A"), ("10-Q", "10-Q/A")
 
 
@@ -86,36 +92,27 @@ def rungs_on_one_scale(rungs: DataFrame, income: DataFrame, eps: DataFrame) -> D
     return r.withColumn("val", F.col("val") * F.coalesce(late, F.lit(1.0))).select(*rungs.columns)
 
 
-def is_line_concept(tag: Column) -> Column:
-    """Whether a tag can carry a quarterly report's long-term debt line: a debt concept, no short-term one and no figure about the debt."""
-    return tag.rlike(DEBT_WORDS) & ~tag.rlike(NO_LINE_WORDS) & ~tag.isin(*NO_LONG_TERM) & ~tag.startswith("ShortTerm") & ~tag.endswith("Current")
-
-
-def is_noncurrent_concept(tag: Column) -> Column:
-    return tag.endswith("Noncurrent") | (tag.startswith("LongTerm") & ~F.contains(tag, F.lit("IncludingCurrent")))
-
-
 def quarter_debt_lines(facts: DataFrame, annual: DataFrame, quarters: DataFrame) -> DataFrame:
     """(ticker, period_end, long_term_debt, tag) for quarters without long-term debt, from a line under another concept.
 
-    A quarterly report's tag is the line if at a year end it has the figure that an annual report filed there under the
-    tag the annual record reads. Beside short-term debt it must hold no maturities: a noncurrent concept, or equal to
+    A quarterly report's tag (one of NONCURRENT_LINES or WHOLE_LINES) is the line if at a year end it has the figure that an annual report filed there under the
+    tag the annual record reads. Beside short-term debt it must hold no maturities: a noncurrent line, or equal to
     the annual record's noncurrent figure where an annual report shows maturities. Lines of a report that disagree are
     none; the latest report decides. *annual*: ticker, period_end, long_term_debt, tag; *quarters*: ticker, period_end,
     long_term_debt, short_term_debt.
     """
-    f = facts.where((F.col("unit") == "USD") & F.col("start").isNull() & F.col("accn").isNotNull() & (is_line_concept(F.col("tag")) | F.col("tag").isin(*MATURITIES)))
+    f = facts.where((F.col("unit") == "USD") & F.col("start").isNull() & F.col("accn").isNotNull() & F.col("tag").isin(*NONCURRENT_LINES, *WHOLE_LINES, *MATURITIES))
     f = f.groupBy("ticker", "accn", "form", "filed", "end", "tag").agg(F.max("val").alias("val"))
     filed = f.where(F.col("form").isin(*ANNUAL_FORMS) & (F.col("val") > 0))
     record = annual.where(F.coalesce(F.col("long_term_debt"), F.lit(0.0)) != 0).select("ticker", F.col("period_end").alias("end"), "tag")
     figures = filed.join(record, ["ticker", "end", "tag"]).select("ticker", "end", "val").distinct()
     mature = filed.where(F.col("tag").isin(*MATURITIES)).select("ticker", "end").distinct()
     apart = record.where(F.col("tag").isin("LongTermDebtNoncurrent", *NONCURRENT)).join(mature, ["ticker", "end"]).select("ticker", "end", F.lit(True).alias("apart"))
-    q = f.where(F.col("form").isin(*QUARTER_FORMS) & is_line_concept(F.col("tag")))
+    q = f.where(F.col("form").isin(*QUARTER_FORMS) & F.col("tag").isin(*NONCURRENT_LINES, *WHOLE_LINES))
     lines = q.join(figures, ["ticker", "end", "val"]).join(apart, ["ticker", "end"], "left").groupBy("ticker", "accn", "tag").agg(F.max(F.coalesce("apart", F.lit(False))).alias("apart"))
     open_quarters = quarters.where(F.col("long_term_debt").isNull()).select("ticker", F.col("period_end").alias("end"), "short_term_debt")
     at = q.join(lines, ["ticker", "accn", "tag"]).join(open_quarters, ["ticker", "end"])
-    at = at.where((F.coalesce("short_term_debt", F.lit(0.0)) == 0) | is_noncurrent_concept(F.col("tag")) | F.col("apart"))
+    at = at.where((F.coalesce("short_term_debt", F.lit(0.0)) == 0) | F.col("tag").isin(*NONCURRENT_LINES) | F.col("apart"))
     one = at.groupBy("ticker", "end", "accn", "filed").agg(F.min("val").alias("lo"), F.max("val").alias("hi"), F.min("tag").alias("tag")).where("lo = hi")
     best = one.groupBy("ticker", "end").agg(F.max_by(F.struct("lo", "tag"), F.struct("filed", "accn")).alias("b"))
     return best.select("ticker", F.col("end").alias("period_end"), F.col("b.lo").alias("long_term_debt"), F.col("b.tag").alias("tag"))
