@@ -14,16 +14,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstrata.llm.common import written
+from finstrata.llm.common import batches_of, written
 from finstrata.llm.terms import terms
 
 BITS = 64
 #: Differing bits up to which fingerprints are near.
 RADIUS = 3
 #: Document frequencies are counted by this many slots of the term's hash, whatever the vocabulary.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 #: Code points of texts a range partition should hold, and rows that meet in one task of a block table.
 PART_CHARS, CHUNK = 1 << 26, 4096
+#: Texts that a task holds at once.
+BATCH = 1000
 #: Fingerprints that share a block key by chance, when the number of blocks is chosen.
 BY_CHANCE = 64
 #: Tasks over which the rows of one fingerprint are dealt when counts are joined back.
@@ -80,7 +82,8 @@ def fit(docs: DataFrame, text: str = "text") -> Weights:
     """Weights from all of *docs*: 1000 ln((2 N + 2) / (2 df + 1)) rounded down, at least 1; df counts the documents
     with a term in the slot. Each task adds up its documents; SLOTS + 2 sums at most reach the driver."""
     parts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(_slot_counts, "slot long, n long")
-    sums = parts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    with batches_of(docs.sparkSession, BATCH):
+        sums = parts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     by = dict(zip(sums["slot"][sums["slot"] < 0], sums["n"][sums["slot"] < 0], strict=True))
     df = np.zeros(SLOTS, np.int64)
     on = sums[sums["slot"] >= 0]
@@ -150,7 +153,8 @@ def with_edits(docs: DataFrame, weights: Weights, doc_id: str = "doc_id", text:
     # equal rows are dealt by where they are read, so that even a third of all rows in one needn't be one range
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("at", F.monotonically_increasing_id())
     order = [F.col("known").desc(), F.col("doc_id").desc(), F.col("h"), F.col("at")]
-    one = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "known", "t").mapInPandas(_in_order(shared), _ROWS), "fingerprint-rows")
+    with batches_of(spark, BATCH):
+        one = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "known", "t").mapInPandas(_in_order(shared), _ROWS), "fingerprint-rows")
     heads = one.where("part = 'head'")
     there = Window.orderBy("p")  # a row a partition
     follows = heads.select("p").withColumn("q", F.coalesce(F.lead("p").over(there), F.first("p").over(there.rowsBetween(Window.unboundedPreceding, Window.currentRow))))

@@ -115,12 +115,12 @@ x AS (SELECT a.r, a.doc_id, a.t, length(a.t) AS n, b.r AS nr, substr(a.t, 1, len
 all_texts AS (SELECT r, 0 AS k, t FROM x UNION ALL SELECT r, 1, e FROM x),
 w AS (SELECT r, k, unnest(regexp_extract_all({_FOLDED.format("t")}, '{_TERM}')) AS term FROM all_texts),
 c AS (SELECT r, k, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h, count(*) AS tf FROM w GROUP BY r, k, term),
-s AS (SELECT (h & 1048575)::BIGINT AS slot, greatest(1, floor(1000 * ln((2.0 * (SELECT count(*) FROM d) + 2) / (2.0 * count(DISTINCT r) + 1))))::BIGINT AS weight
+s AS (SELECT (h & 262143)::BIGINT AS slot, greatest(1, floor(1000 * ln((2.0 * (SELECT count(*) FROM d) + 2) / (2.0 * count(DISTINCT r) + 1))))::BIGINT AS weight
       FROM c WHERE k = 0 GROUP BY 1),
 every AS (SELECT slot, weight FROM s UNION ALL
-          SELECT DISTINCT (h & 1048575)::BIGINT, floor(1000 * ln(2.0 * (SELECT count(*) FROM d) + 2))::BIGINT FROM c WHERE (h & 1048575)::BIGINT NOT IN (SELECT slot FROM s)),
+          SELECT DISTINCT (h & 262143)::BIGINT, floor(1000 * ln(2.0 * (SELECT count(*) FROM d) + 2))::BIGINT FROM c WHERE (h & 262143)::BIGINT NOT IN (SELECT slot FROM s)),
 v AS (SELECT r, k, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN tf * weight ELSE -tf * weight END) > 0 AS one
-      FROM c JOIN every ON slot = (h & 1048575)::BIGINT, range(64) AS bits(b) GROUP BY r, k, b),
+      FROM c JOIN every ON slot = (h & 262143)::BIGINT, range(64) AS bits(b) GROUP BY r, k, b),
 f AS (SELECT r, k, sum(CASE WHEN one THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS fp FROM v GROUP BY r, k),
 g AS (SELECT a.r, a.k, coalesce(f.fp, 0)::UBIGINT AS fp FROM all_texts a LEFT JOIN f ON f.r = a.r AND f.k = a.k),
 near AS (SELECT a.r, count(*) - 1 AS n_near FROM g a JOIN g b ON a.k = 0 AND b.k = 0 AND bit_count(xor(a.fp, b.fp)::UBIGINT::BIT) <= 3 GROUP BY a.r)

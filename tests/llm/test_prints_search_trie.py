@@ -34,13 +34,13 @@ def test_terms():
 
 def _fingerprints(texts):
     slot = lambda t: int(hashlib.md5(t).hexdigest()[:16], 16)
-    df = Counter(s for t in texts for s in {slot(w) % 2**20 for w in _term_list(t)})
+    df = Counter(s for t in texts for s in {slot(w) % 2**18 for w in _term_list(t)})
 
     def of(text):
         votes = [0] * 64
         for w, n in Counter(_term_list(text)).items():
             h = slot(w)
-            weight = max(1, math.floor(1000 * math.log((2 * len(texts) + 2) / (2 * df[h % 2**20] + 1))))
+            weight = max(1, math.floor(1000 * math.log((2 * len(texts) + 2) / (2 * df[h % 2**18] + 1))))
             for b in range(64):
                 votes[b] += n * weight * (1 if h >> b & 1 else -1)
         return sum(1 << b for b in range(64) if votes[b] > 0)
