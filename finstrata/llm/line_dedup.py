@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from finstrata.llm.common import written
 
@@ -12,11 +17,13 @@ MIN_SITES = 10
 #: log2 of a sketch's registers, and how far from the threshold (as a share of it) a sketch's estimate is not trusted:
 #: four standard errors of 1.04 / sqrt(2^10).
 SKETCH_LOG2, BAND = 10, 0.13
+#: What lines are trimmed of.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
     """The text's lines, each trimmed of the six ASCII spaces."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(SPACES)))
 
 
 def _hash(line: Column) -> Column:
@@ -38,6 +45,26 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", order
     return written(sure.select("h", "first").unionByName(exact.where(F.col("sites") >= min_sites).select("h", "first")), "line-boilerplate")
 
 
+def _kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Texts without the lines whose hashes are listed, but for the first of each that is the text's own; one pass over each text's lines."""
+    for texts, drops, own in batches:
+        out = []
+        for t, d, o in zip(texts, drops, own, strict=True):
+            if t is None:
+                out.append((None, None))
+                continue
+            drop, first, lines = set(d.tolist()), set(o.tolist()), t.split("\n")
+            stay = []
+            for x in lines:
+                h = xxhash.xxh64_intdigest(x.strip(SPACES).encode("utf-8", "replace"), 42)
+                h -= (h >> 63) << 64
+                if h not in drop or h in first:
+                    stay.append(x)
+                    first.discard(h)
+            out.append(("\n".join(stay), len(lines) - len(stay)))
+        yield pd.DataFrame(out, columns=["text", "removed"], dtype=object)
+
+
 def dedup(docs: DataFrame, text: str = "text", site: str = "source", order: str = "doc_id", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
     """*docs* with boilerplate lines taken out of *text*; adds ``n_lines`` (before) and ``n_removed``.
 
@@ -52,18 +79,13 @@ def dedup(docs: DataFrame, text: str = "text", site: str = "source", order: str
     found = base.select("_k", F.explode(_lines(F.col(text))).alias("line")).where(F.col("line") != "").select("_k", _hash(F.col("line")).alias("h")).join(bad, "h")
     drop = written(found.groupBy("_k", "h", "first").agg(F.lit(1)).groupBy("_k").agg(F.collect_list(F.struct("h", "first")).alias("_drop")), "line-drops")
     t = F.coalesce(F.col(text), F.lit(""))
-    raw, hashes = F.split(t, "\n"), F.transform(_lines(F.col(text)), _hash)
-
-    def stays(x: Column, i: Column) -> Column:
-        h = F.element_at("_hashes", i + 1)
-        entry = F.try_element_at(F.filter("_drop", lambda d: d["h"] == h), F.lit(1))
-        own = (entry["first"].eqNullSafe(F.col(order))) & (F.array_position("_hashes", h) == i + 1) if keep_first else F.lit(False)
-        return entry.isNull() | (F.trim(x, F.lit(" \t\n\x0b\x0c\r")) == "") | own
-
     # drop grows with the corpus: texts are dealt by hash at every size
-    joined = base.join(drop.hint("merge"), "_k", "left").withColumn("_hashes", F.when(F.col("_drop").isNotNull(), hashes))
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), F.filter(raw, stays)))
-    n = F.when(t == "", F.lit(0)).otherwise(F.size(raw)).cast("long")
-    out = joined.withColumns({"n_lines": n, "n_removed": F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long")})
-    out = out.withColumn(text, F.when(F.col("n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
+    joined = base.join(drop.hint("merge"), "_k", "left")
+    hashes = lambda of: F.transform(of, lambda d: d["h"])
+    own = F.filter("_drop", lambda d: d["first"].eqNullSafe(F.col(order))) if keep_first else F.slice("_drop", 1, 0)
+    some = F.col("_drop").isNotNull()
+    joined = joined.withColumn("_kept", pandas_udf(_kept, "text string, removed long")(F.when(some, F.col(text)), hashes("_drop"), F.when(some, hashes(own))))
+    n = F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, "\n"))).cast("long")
+    out = joined.withColumns({"n_lines": n, "n_removed": F.coalesce("_kept.removed", F.lit(0)).cast("long")})
+    out = out.withColumn(text, F.when(F.col("n_removed") > 0, F.col("_kept.text")).otherwise(F.col(text)))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

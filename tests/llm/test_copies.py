@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -166,6 +167,15 @@ def test_lines_against_brute_force(spark, keep_first):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_long_texts_of_boilerplate(spark):
+    lines = [f"line number {i}" for i in range(20_000)]
+    rows = [(i, "\n".join(lines[:1] * 3 + lines), f"s{i}") for i in range(12)]
+    began = time.time()
+    out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0].text == "\n".join(lines) and out[0].n_removed == 3 and all(out[i].text == "" and out[i].n_removed == 20_003 for i in range(1, 12))
+    assert time.time() - began < 60
+
+
 def _vectors():
     rng = np.random.default_rng(0)
     base = rng.normal(size=(300, 12))
