@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from finstrata.llm import decontam, mixing, pii
 from finstrata.llm.wordhash import gram_hashes, token_hashes
@@ -157,7 +159,7 @@ def test_forms_against_brute_force(spark):
              "+1 (705) 555-6638", "+49.30.1234", "++123456789012", "+1", "(", ").", "é", "\U0001f600", "\n", " ", "-", ".", "x", "00000000000000", "12345678901234567890123"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(600)] + [None, "", "9" * 150_000, "a" * 150_000, ".a" * 40_000 + "@" + "b." * 40_000 + "c", "1 " * 60_000, "1." * 60_000, "+1" * 30_000, "a@b.c " * 400]
     df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)] + [(0, texts[0], 3), (None, "n@u.ll", 3)], "doc_id long, text string, n_email int")
-    out = pii.find(df, support=10**9).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", pii.span_text("base").alias("base"), pii.span_text("spans").alias("spans")).collect()
+    out = pii.find(df, disclosure=2.0).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", pii.span_text("base").alias("base"), pii.span_text("spans").alias("spans")).collect()
     assert len(out) == len(texts) + 2
     for r in out:
         want = "email:0:6" if r.doc_id is None else _base(texts[r.doc_id])
@@ -203,12 +205,40 @@ def test_partial_copies_of_long_items(spark):
     assert sorted(r.doc_id for r in decontam.remove_contaminated(df, bench).collect()) == [10, 11, 12, 13]
 
 
-def test_terms_of_rare_values(spark):
-    # one document and one copied; names above, below and far from the address, and common words
-    rows = [(0, "Quillon\nthe mayor\nmail ann@town.org or call\nBrastock\n" + "the mayor\n" * 9 + "signed quillon"), *[(1 + i, "Vexler wrote\nto bob@city.net") for i in range(50)]]
-    rows += [(100 + i, f"the mayor wrote to mail or call, signed number {i}") for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean[0] == "[term]\nthe mayor\nmail [email] or call\n[term]\n" + "the mayor\n" * 9 + "signed [term]"
-    assert {clean[1 + i] for i in range(50)} == {"[term] wrote\nto [email]"}
-    assert all(clean[100 + i] == rows[51 + i][1] for i in range(200))
+NAMES = [a + b for a in ("Quil", "Bras", "Vex", "Tor", "Mun", "Yel") for b in ("lon", "tock", "ler", "quist", "dahl")]
+
+
+def _letters(rng):
+    """Documents with an address each, among words that stand nowhere else; by each address its owner's name, at the end again."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwxyz", k=rng.randrange(5, 10)))
+    rows = []
+    for i, n in enumerate(NAMES):
+        rare = [word() for _ in range(40)]
+        rows.append((i, f"the mayor {n} of {' '.join(rare[:20])}\nwrote to {n.lower()}@town{i}.org and {' '.join(rare[20:])}\n" + "the mayor\n" * 90 + f"signed {n}"))
+    rows += [(1000 + i, rows[3][1]) for i in range(50)]  # copies make nothing certain
+    return rows + [(2000 + i, f"the mayor wrote to mail or call, signed number {i} of town") for i in range(200)]
+
+
+def test_rare_words_are_no_terms_but_names_are(spark):
+    rows = _letters(random.Random(5))
+    out = {r.doc_id: [s.value.lower() for s in r.spans if s.kind == 4] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marked = [(NAMES[i].lower(), w) for i in range(len(NAMES)) for w in out[i]]
+    assert sum(n != w for n, w in marked) < 0.05 * 40 * len(NAMES)
+    assert all(out[i].count(n.lower()) == 2 for i, n in enumerate(NAMES))
+    assert all(out[1000 + i] == out[3] for i in range(50)) and not any(out[2000 + i] for i in range(200))
+
+
+def test_terms_of_often_seen_values(spark):
+    # no letters in common: told by company in different surroundings, not by one that is copied
+    rows = [(i, f"on day {i} ask Ottoline about {i * 7}\n+1 705 555 6638") for i in range(8)] + [(50 + i, "then ask Isambard\n+1 705 555 9999") for i in range(40)]
+    rows += [(100 + i, f"on day {i} ask about it then") for i in range(300)]
+    out = {r.doc_id: [s.value for s in r.spans if s.kind == 4] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == ["Ottoline"] for i in range(8)) and not any(out[d] for d in out if d >= 50)
+
+
+@pytest.mark.parametrize("text", ["mail a{0}@b.co today friend\n", "a{0}@b.co friend "])
+def test_work_grows_with_a_text_not_its_square(spark, text):
+    rows = [(k, "".join(text.format(i * 10 + k) for i in range(20_000))) for k in range(3)]
+    began = time.time()
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("n_email", F.size("spans").alias("n")).collect()
+    assert all(r.n_email == 20_000 and r.n >= 20_000 for r in out) and time.time() - began < 90
