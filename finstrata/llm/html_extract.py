@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: Lines in a block, and the text length at which a block counts as a surge in pages without an article element.
+#: Lines in a block, and the text length at which a block surges.
 BLOCK_LINES, SURGE = 3, 86
+#: Share of a surge that a line must have to be what surged.
+HEAVY = 1 / 3
 
 # Elements of HTML by their role.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -27,34 +29,56 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)?/?)>|</?[a-zA-Z][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile("[a-z0-9]+")
-#: First words of class tokens that tell what a page has or lacks, and words of tokens that wrappers have too.
+#: Elements that are part of a run of text, not containers of their own.
+FLOW = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th hr address summary details caption".split())
+#: Words before a noise word that tell what a page has or lacks.
 MODIFIERS = set("no not has have with without hide show is".split())
-LAYOUT_NAMES = set("left right top bottom layout wrapper wrap container page site content main body column columns col row grid inner outer".split())
+#: Words that say nothing of what is in an element.
+PLAIN_NAMES = set("left right top bottom layout wrapper wrap container page site content main body column columns col row grid inner outer slot box bar block list item items link links unit area zone panel "
+                  "pane icon icons button buttons text title heading head posts post articles stories news more field section region holder module count group primary secondary first last".split())
+#: Beginnings that make a longer word noise too (``commentlist``).
+BEGINNINGS = ("comment", "sidebar", "footer", "navbar", "advert", "breadcrumb", "cookie", "newsletter")
+_SURE, _MAYBE = 2, 1
 
 
 def _noisy(markup: str, names: set[str]) -> int:
-    """2 if a class, id or role token names noise, 1 if only tokens do that may be a wrapper's, 0 if none."""
+    """How sure class, id or role tokens are that the element is noise: _SURE if a token says nothing else, _MAYBE if it has other words too, else 0."""
     out = 0
     for token in " ".join("".join(v) for v in _NAMES.findall(markup)).lower().split():
-        words = _WORD.findall(token)
-        if words and words[0] not in MODIFIERS and names.intersection(words):
-            out = max(out, 1 if LAYOUT_NAMES.intersection(words) else 2)
+        words, noise, other = _WORD.findall(token), False, False
+        for i, w in enumerate(words):
+            if w in names or w.startswith(BEGINNINGS) and w != "commentary":
+                noise = noise or not (i and words[i - 1] in MODIFIERS)
+            elif w not in PLAIN_NAMES and not w.isdigit():
+                other = True
+        if noise:
+            out = max(out, _MAYBE if other else _SURE)
     return out
 
 
-def _lines(page: str) -> tuple[list[tuple[str, int, bool, bool, tuple[int, ...]]], list[int]]:
-    """(text, length inside links, noise, inside the article, elements around it and outside the article that names make noise)
-    of each line: the run of text between two block tags; and how sure each of those elements is (as ``_noisy`` tells)."""
-    lines, parts, stack = [], [], []  # stack: (tag, noise, main, whether in named)
-    sure, named = [], []
-    noise = main = links = linked = 0
+class Line:
+    """A run of text between two block tags."""
+
+    __slots__ = ("box", "inside", "linked", "named", "noise", "text")
+
+    def __init__(self, text: str, linked: int, noise: bool, inside: bool, named: tuple[int, ...], box: int):
+        self.text, self.linked = text, linked  # linked: length inside links
+        self.noise, self.inside = noise, inside  # in an element that is noise whatever it holds; in an article or main element
+        self.named, self.box = named, box  # elements around it that may be noise; its container
+
+
+def _lines(page: str) -> tuple[list[Line], list[int]]:
+    """The page's lines, and how sure each element that may be noise is of it."""
+    lines, parts, stack = [], [], []  # stack: (tag, noise, main, may be noise)
+    sure, named, boxes = [], [], [0]
+    noise = main = links = linked = n_boxes = 0
 
     def end() -> None:
         nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, linked, noise > 0, main > 0, tuple(named)))
+                lines.append(Line(text, linked, noise > 0, main > 0, tuple(named), boxes[-1]))
             parts.clear()
         linked = 0
 
@@ -64,6 +88,8 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool, bool, tuple[int, ...]]
             noise, main, links = noise - n, main - m, links - (tag == "a")
             if own:
                 named.pop()
+            if tag not in INLINE and tag not in FLOW:
+                boxes.pop()
         del stack[to:]
 
     def text(piece: str) -> None:
@@ -98,14 +124,16 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool, bool, tuple[int, ...]]
                     if stack[i][0] not in INLINE:
                         break
             is_main = tag in ("article", "main")
-            bad, own = tag in NOISE_TAGS or tag == "header" and not main, False
+            bad, level = tag in NOISE_TAGS and tag != "form" or tag == "header" and not main, _SURE if tag == "form" else 0
             if m[4] and not bad and not is_main and tag not in ("html", "body"):
-                level = _noisy(m[4], NOISE_NAMES if main else NOISE_NAMES | HEADER_NAMES)
-                bad = level > 0 and main > 0
-                if level and not main:
-                    named.append(len(sure))
-                    sure.append(level)
-                    own = True
+                level = max(level, _noisy(m[4], NOISE_NAMES if main else NOISE_NAMES | HEADER_NAMES))
+            own = level > 0 and not bad
+            if own:
+                named.append(len(sure))
+                sure.append(level)
+            if tag not in INLINE and tag not in FLOW:
+                n_boxes += 1
+                boxes.append(n_boxes)
             stack.append((tag, bad, is_main, own))
             noise, main, links = noise + bad, main + is_main, links + (tag == "a")
     text(page[at:])
@@ -113,46 +141,66 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool, bool, tuple[int, ...]]
     return lines, sure
 
 
-def _judged(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length inside links, noise, inside the article) of each line.
+def _surges(weight: list[int]) -> tuple[list[int], int]:
+    """The sums over windows of BLOCK_LINES lines, and what sum is a surge."""
+    block = [sum(weight[i:i + BLOCK_LINES]) for i in range(len(weight))]
+    return block, min(SURGE, max(block, default=0))
+
+
+def _noise(lines: list[Line], sure: list[int]) -> list[bool]:
+    """Whether each line is noise.
 
-    An element with a name that wrappers have too isn't noise if an article or over half of the page's text is in it.
-    If all articles are inside named elements, those aren't noise for them.
+    What an element's name says counts unless the element holds over half of the page's running text, or of the
+    article's, or is the only way to an article; and a name with other words in it only if its lines nowhere surge.
+    Where there is an article elsewhere, names count in any case.
     """
-    lines, sure = _lines(page)
-    held, total, wraps = [0] * len(sure), 0, set()
-    for t, linked, bad, inside, named in lines:
-        if not bad and 2 * linked <= len(t):
-            total += len(t)
-            for k in named:
-                held[k] += len(t)
-                if inside and sure[k] == 1:
-                    wraps.add(k)
-    wraps |= {k for k, n in enumerate(held) if sure[k] == 1 and 2 * n > total}
-    out = [(t, linked, bad, inside, any(k not in wraps for k in named)) for t, linked, bad, inside, named in lines]
-    clean = any(inside and not bad and not named for _, _, bad, inside, named in out)
-    return [(t, linked, bad or named and (clean or not inside), inside) for t, linked, bad, inside, named in out]
+    running = [0 if x.noise or 2 * x.linked > len(x.text) else len(x.text) for x in lines]
+    plain = [w if not any(sure[k] == _SURE for k in x.named) else 0 for x, w in zip(lines, running, strict=True)]
+    held, inside, open_article = [0] * len(sure), [0] * len(sure), False
+    total, of_article = sum(running), sum(w for x, w in zip(lines, running, strict=True) if x.inside)
+    most = [0] * len(sure)
+    for i, (x, w) in enumerate(zip(lines, running, strict=True)):
+        open_article = open_article or x.inside and plain[i] > 0
+        for k in x.named:
+            held[k] += w
+            inside[k] += w if x.inside else 0
+            if sure[k] == _MAYBE:
+                near = [w2 for x2, w2 in zip(lines[i:i + BLOCK_LINES], running[i:i + BLOCK_LINES], strict=True) if k in x2.named]
+                most[k] = max(most[k], sum(near))
+    wraps = {k for k in range(len(sure)) if (inside[k] or not open_article) and (2 * held[k] > total or of_article and 2 * inside[k] > of_article or sure[k] == _MAYBE and most[k] >= SURGE)}
+    if not open_article:  # all articles are inside elements named as noise
+        around = [set(x.named) for x in lines if x.inside and not x.noise]
+        wraps |= set.intersection(*around) if around else set()
+    return [x.noise or any(k not in wraps for k in x.named) for x in lines]
 
 
 def main_text(page: str | None) -> str:
     """The text between surge and dive points of the page's line blocks, lines joined by one space.
 
     A line weighs as much as its text; noise (menus, page headers, footers, sidebars, notices, adverts, forms,
-    comments), lines outside the article element where there is one, and else lines of links, weigh nothing. A block
-    is a window of *BLOCK_LINES* lines. Kept text begins where a block's weight first surges; from there on every line that weighs
-    anything is kept, however short what comes after a dive.
+    comments; see :func:`_noise`) and lines of links weigh nothing. A block is a window of *BLOCK_LINES* lines. Text
+    surges at a heavy line whose block reaches SURGE (or the page's greatest block, if less) and dives at the first
+    line whose block doesn't. Lines between surge and dive are kept, and before and after them those of a container
+    that a heavy line of theirs stands in: an article's heading, its short lines and its end, but not a notice beside it.
+
+    Where text surges inside an article or main element, or nowhere else, all lines in it that weigh anything are kept,
+    lines of links too, and none outside.
     """
-    lines = _judged(page or "")
-    has_main = any(inside and not bad for _, _, bad, inside in lines)
-    weight = [0 if bad or (has_main and not inside) or (not has_main and 2 * linked > len(t)) else len(t) for t, linked, bad, inside in lines]
-    block = [sum(weight[i:i + BLOCK_LINES]) for i in range(len(weight))]
-    surge = 1 if has_main else min(SURGE, max(block, default=0))
-    kept, inside = [], False
-    for (t, *_), w, b in zip(lines, weight, block, strict=True):
-        inside = inside or 0 < b >= surge
-        if inside and w:
-            kept.append(t)
-    return " ".join(kept)
+    lines, sure = _lines(page or "")
+    noise = _noise(lines, sure)
+    plain = [0 if bad else len(x.text) for x, bad in zip(lines, noise, strict=True)]
+    article = [w if x.inside else 0 for x, w in zip(lines, plain, strict=True)]
+    weight = [0 if 2 * x.linked > len(x.text) else w for x, w in zip(lines, plain, strict=True)]
+    outside = [0 if x.inside else w for x, w in zip(lines, weight, strict=True)]
+    if any(article) and (max(_surges(article)[0]) >= SURGE or max(_surges(outside)[0]) < SURGE):
+        return " ".join(x.text for x, w in zip(lines, article, strict=True) if w)
+    block, surge = _surges(weight)
+    between, on = [], False
+    for w, b in zip(weight, block, strict=True):
+        on = b >= surge and (on or w >= HEAVY * surge)
+        between.append(on and w > 0)
+    boxes = {x.box for x, w, k in zip(lines, weight, between, strict=True) if k and w >= HEAVY * surge}
+    return " ".join(x.text for x, w, k in zip(lines, weight, between, strict=True) if k or w and x.box in boxes)
 
 
 def _main_texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -131,3 +131,62 @@ def test_wrappers_named_after_noise_keep_their_article():
     noise = '<div class="ad">Buy this</div>' * 4
     assert main_text(f"<p>{body}</p>{noise}<p>The end.</p>") == f"{body} The end."
     assert main_text(aside.format("left-sidebar") + f"<p>{body}</p>") == body
+
+
+NAMED = ["sidebar", "left-sidebar", "ad-slot-top", "cookie-bar", "newsletter-signup", "related-posts", "commentlist", "site-footer", "comments", "share"]
+WRAPS = ["", 'class="content-with-sidebar"', 'class="sidebar-layout"', 'class="red-alert-story"', 'class="has-sidebar"', 'id="ad-free"', 'class="main-menu-left"']
+
+
+def _page(rng):
+    """A page put together from known parts, and the text of its article."""
+    words = lambda a, b: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(rng.randrange(a, b)))
+    noise = lambda: rng.choice([
+        lambda: f'<div class="{rng.choice(NAMED)}"><p>{words(3, 30)}</p></div>', lambda: f"<nav><ul>{''.join(f'<li><a href=x>{words(1, 4)}</a></li>' for _ in range(6))}</ul></nav>",
+        lambda: f"<footer>{words(2, 30)}</footer>", lambda: f"<aside><p>{words(5, 30)}</p></aside>", lambda: f"<form>{words(1, 9)}<input></form>", lambda: f"<script>{words(9, 20)}</script>"])()
+    kept, body = [], []
+    for tag, a, b in [("h1", 2, 8), ("p", 25, 60), *[(rng.choice(["p", "p", "h2", "li", "p", "section"]), 3, 60) for _ in range(rng.randrange(1, 8))], ("p", 25, 60), ("p", 1, 6)]:
+        t = words(a, b)
+        kept.append(t)
+        body.append(f'<section class="related-work"><p>{t} {t * 3}</p></section>' if tag == "section" else f"<{tag}>{t}</{tag}>")
+        if tag == "section":
+            kept[-1] = f"{t} {t * 3}"
+        if rng.random() < 0.2:
+            body.append(f'<div class="{rng.choice(NAMED)}"><p>{words(1, 8)}</p></div>')
+    tag = rng.choice(["article", "main", "div", "div"])
+    page = f"<{tag} {rng.choice(WRAPS) if tag == 'div' else ''}>{''.join(body)}</{tag}>"
+    wrap = rng.choice(WRAPS)
+    if wrap:
+        page = f"<div {wrap}>{noise()}{page}</div>"
+    if rng.random() < 0.3:
+        page = f'<form id="aspnetForm">{page}</form>'
+    edges = lambda: "".join(noise() for _ in range(rng.randrange(3)))
+    return f"<html><body>{edges()}{page}{edges()}<div>&copy; {words(2, 5)}</div></body></html>", " ".join(kept)
+
+
+def test_pages_of_known_parts():
+    """Built from parts, so that the text to find is known without any of the extractor's rules."""
+    rng = random.Random(11)
+    wrong = [(p, t) for p, t in (_page(rng) for _ in range(400)) if html_extract.main_text(p) != t]
+    assert len(wrong) <= 8, (len(wrong), wrong[0], html_extract.main_text(wrong[0][0]))
+
+
+def test_layouts():
+    main_text = html_extract.main_text
+    body = "A long opening paragraph of the article, long enough for any block of lines to surge past its bar."
+    two = f"<h1>Title</h1><p>Short.</p><p>{body}</p><p>{body}</p>"
+    want = f"Title Short. {body} {body}"
+    for page in (f'<main><div class="content-with-sidebar">{two}</div></main>', f'<article><div class="sidebar-layout">{two}</div></article>', f'<article><div class="red-alert-story">{two}</div></article>',
+                 f'<form id="aspnetForm"><div>{two}</div></form>', f'<form id="aspnetForm"><article>{two}</article></form>', f'<article>Teaser</article><div>{two}</div>'):
+        assert main_text(page) == want, page
+    assert main_text(f'<article>{two}<section class="related-work"><p>{body}</p></section></article>') == f"{want} {body}"
+    # dives: what is beside the container of the text isn't taken up again, unless text surges again
+    assert main_text(f"<div>Site</div><div>{two}<p>End.</p></div><div>&copy; 2020 Some house</div>") == f"{want} End."
+    assert main_text(f'<div>{two}</div><div class="ad">Buy</div><ul><li><a>x</a></li></ul><div>{two}</div>') == f"{want} {want}"
+    assert main_text(f"<div>{two}</div><ol class=commentlist><li>{body}</li></ol>") == want
+    # a short article stays the article, whatever an advert's length
+    assert main_text(f'<div class="ad">{body}</div><article><p>Short.</p></article>') == "Short."
+
+
+def test_clashing_columns_and_ties(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "old", 9)] * 2, "page_id long, html string, text string, n_chars int")
+    assert [(r.text, r.n_chars, r.page_id) for r in html_extract.extract(df).collect()] == [("a", 1, 1)] * 2
