@@ -23,6 +23,8 @@ SKIPPABLE, TRAINED = 0x184D2A5D, b"\x37\xa4\x30\xec"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _READ = 1 << 15
+#: Tasks that read archives, at most.
+MOST_READERS = 10_000
 
 
 def _open(path: str, mode: str):
@@ -204,7 +206,8 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 if rows:
                     yield table(rows)
 
-    return manifest.select("path", "records").repartition("path").mapInPandas(read, ROWS)
+    # a stated number of tasks: the manifest is too small a table for the planner to see what its rows stand for
+    return manifest.select("path", "records").repartition(max(1, min(manifest.count(), MOST_READERS))).mapInPandas(read, ROWS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 256, payload: bool = False) -> DataFrame:
