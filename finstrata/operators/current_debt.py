@@ -110,9 +110,12 @@ def current_debt_combinations(facts: DataFrame, view: str = "annual") -> tuple[D
     return out.select(*DATED, "form", "filed", "val"), held_by_total
 
 
-def current_debt_combined(facts: DataFrame, view: str = "annual") -> DataFrame:
-    """*facts* with those combinations as DebtCurrent, less the maturities a long-term total holds (FCT-10)."""
-    combined, held = current_debt_combinations(facts, view)
+def current_debt_combined(facts: DataFrame, view: str = "annual", judged: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """*facts* with those combinations as DebtCurrent, less the maturities a long-term total holds (FCT-10).
+
+    *judged*: the combinations, where they were judged on other facts than these.
+    """
+    combined, held = judged or current_debt_combinations(facts, view)
     kept = facts.join(held.withColumn("tag", F.lit(MATURITIES[1])), [*DATED, "tag"], "left_anti")
     return kept.unionByName(combined.withColumns({"tag": F.lit(DEBT), "unit": F.lit("USD"), "start": F.lit(None).cast("date")}).select(*facts.columns))
 

@@ -1,4 +1,4 @@
-"""From long facts to one value per period (RES-3..6, 8..14, 21, 23..25, 28) and point-in-time reads (PIT-1..8).
+"""From long facts to one value per period (RES-3..6, 8..14, 21, 24, 25, 28) and point-in-time reads (PIT-1..8).
 
 Winners are ``max_by`` aggregates over (priority, filing day), which combine before the shuffle; no
 group of facts is ever sorted whole.
@@ -27,6 +27,11 @@ def candidates(facts: DataFrame, registry: DataFrame) -> DataFrame:
     return j.where(F.when(F.col("kind") == "instant", F.col("start").isNull()).otherwise(F.col("start").isNotNull()))
 
 
+def annual_candidates(facts: DataFrame, registry: DataFrame) -> DataFrame:
+    """Candidates from annual reports, with their fiscal year."""
+    return _annual(candidates(facts, registry))
+
+
 def _annual(c: DataFrame) -> DataFrame:
     span = F.datediff("end", "start")
     return (c.where(F.col("form").isin(*reg.ANNUAL_FORMS) & (F.col("start").isNull() | span.between(*YEAR_DAYS)))
@@ -200,30 +205,6 @@ def changed_days(facts: DataFrame, registry: DataFrame) -> DataFrame:
     return _annual(candidates(facts, registry)).select("ticker", F.col("filed").alias("day")).distinct()
 
 
-def build_snapshots(facts: DataFrame, registry: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(ticker, fiscal_year, known_from, fields...): a row for each day a fiscal year's resolved row changed.
-
-    A field's winner can only change on its own facts' filing days, so each (year, field) is folded to its best
-    candidate per day and carried by a running maximum; only changes survive to the pivot.
-    """
-    a = _annual(candidates(facts, registry)).where(F.col("field").isin(*fields) & (F.col("end") <= F.col("filed")))
-    value = F.when(F.col("sign") == "abs", F.abs("val")).otherwise(F.col("val"))
-    best = F.struct((-F.col("priority")).alias("p"), F.col("filed").alias("d"), F.col("accn").alias("a"), F.col("val").alias("r"), value.alias("v"))
-    day = a.groupBy("ticker", "fiscal_year", "field", "filed").agg(F.max(best).alias("b"))
-    w = Window.partitionBy("ticker", "fiscal_year", "field").orderBy("filed")
-    run = day.withColumn("v", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, 0))["v"])
-    chg = run.withColumn("__p", F.lag("v").over(w)).where(~F.col("v").eqNullSafe(F.col("__p")))
-    wide = chg.groupBy("ticker", "fiscal_year", "filed").pivot("field", list(fields)).agg(F.max("v"))
-    fill = Window.partitionBy("ticker", "fiscal_year").orderBy("filed").rowsBetween(Window.unboundedPreceding, 0)
-    return wide.select("ticker", "fiscal_year", F.col("filed").alias("known_from"), F.lit(True).alias("present"),
-                       *[F.last(f, ignorenulls=True).over(fill).alias(f) for f in fields])
-
-
-def vintage_views(vintage_rows: DataFrame) -> DataFrame:
-    """Vintages whose year had ended by their filing day."""
-    return vintage_rows.where(F.col("end") <= F.col("filed"))
-
-
 # ---- point in time
 
 def as_of_annual(known: DataFrame, probes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from finstrata import registry as reg
 from finstrata.operators import facts as fx
 from finstrata.operators import ratios as rat
 from finstrata.operators import resolve as rs
+from finstrata.operators import snapshots as sn
 from finstrata.operators import splits as sp
 from finstrata.plans import standin
 from finstrata.plans.catalog._core import query
@@ -315,21 +316,41 @@ def res28(u):
     return rs.classify_sector(u.company.withColumn("sic", code), f)
 
 
-_SF = ["revenue", "net_income", "capex"]
-_AND = "form IN ('10-K', '10-K/A') AND \"end\" <= filed"
-
-
-@query("res23_build_snapshots", "SELECT DISTINCT ON (ticker, fiscal_year, run) ticker, fiscal_year, known_from, " + ", ".join(_SF) + f""" FROM (SELECT *, sum(changed) OVER (PARTITION BY ticker, fiscal_year ORDER BY known_from) AS run FROM (
- SELECT *, (lag(known_from) OVER w IS NULL OR {' OR '.join(f'{f} IS DISTINCT FROM lag({f}) OVER w' for f in _SF)})::INT AS changed FROM (
- SELECT d.ticker, d.fiscal_year, d.filed AS known_from, {', '.join(f'''arg_max(c.v, {_ORD.replace('priority', 'c.priority').replace('filed', 'c.filed').replace('accn', 'c.accn').replace('val +', 'c.val +')}) FILTER (c.field = '{f}') AS {f}''' for f in _SF)}
- FROM (SELECT DISTINCT ticker, fiscal_year, filed FROM ox_cand WHERE {_AND}) d JOIN (SELECT * FROM ox_cand WHERE {_AND}) c ON c.ticker = d.ticker AND c.fiscal_year = d.fiscal_year AND c.filed <= d.filed GROUP BY d.ticker, d.fiscal_year, d.filed) a
- WINDOW w AS (PARTITION BY ticker, fiscal_year ORDER BY known_from)) b) z ORDER BY ticker, fiscal_year, run, known_from""")
+# Every second company files a year early, and reports of four months end the year two months before, so years open, leave and return.
+R["si_f_snap"] = """SELECT ticker, tag, unit, CASE WHEN month(filed) IN (4, 5, 6, 7) THEN CAST(start - INTERVAL 60 DAY AS DATE) ELSE start END AS start,
+  CASE WHEN month(filed) IN (4, 5, 6, 7) THEN CAST("end" - INTERVAL 60 DAY AS DATE) ELSE "end" END AS "end", val, accn, form,
+  CASE WHEN CAST(substring(ticker, 2) AS INT) % 2 = 1 THEN CAST(filed - INTERVAL 12 MONTH AS DATE) ELSE filed END AS filed FROM si_f_known"""
+_SNAP = {t: v[:2] for t, v in _PRIO.items()} | _BPRIO
+_SNAP_FIELDS = sorted({v[0] for v in _SNAP.values()})
+R["ox_snap_c"] = f"SELECT *, {_case('tag', _SNAP, 0)} AS field, {_case('tag', _SNAP, 1)} AS priority, CAST(year(\"end\") AS INT) AS fiscal_year, CASE WHEN tag LIKE 'PaymentsToAcquireP%' THEN abs(val) ELSE val END AS v FROM si_f_snap WHERE tag <> 'OtherTag' AND form IN ('10-K', '10-K/A')"
+R["ox_snap_d"] = "SELECT ticker, filed AS day, max(accn) AS known_accn FROM si_f_snap GROUP BY ticker, filed"
+R["ox_snap_e"] = """SELECT ticker, fiscal_year, day, known_accn, "end" AS period_end FROM (
+ SELECT c.ticker, c.fiscal_year, d.day, d.known_accn, c."end", row_number() OVER (PARTITION BY c.ticker, c.fiscal_year, d.day ORDER BY count(DISTINCT field) FILTER (start IS NOT NULL) DESC, c."end" DESC) AS k
+ FROM ox_snap_c c JOIN ox_snap_d d ON d.ticker = c.ticker AND c.filed <= d.day GROUP BY c.ticker, c.fiscal_year, d.day, d.known_accn, c."end") x WHERE k = 1"""
+_SORD = _ORD.replace("priority", "c.priority").replace("filed", "c.filed").replace("accn", "c.accn").replace("val +", "c.val +")
+R["ox_snap_w"] = f"""SELECT e.ticker, e.fiscal_year, e.day, e.known_accn, e.period_end, field, arg_max({{'v': v, 'tag': tag, 'accn': accn, 'filed': filed, 'form': form}}, {_SORD}) AS f
+ FROM ox_snap_e e JOIN ox_snap_c c ON c.ticker = e.ticker AND c.fiscal_year = e.fiscal_year AND c.filed <= e.day AND abs(date_diff('day', c."end", e.period_end)) <= 7 GROUP BY e.ticker, e.fiscal_year, e.day, e.known_accn, e.period_end, field"""
+R["ox_snap_s"] = f"""SELECT ticker, fiscal_year, day AS known_from, known_accn, period_end <= day AS present, period_end, {', '.join(f"max(f.v) FILTER (field = '{x}') AS {x}" for x in _SNAP_FIELDS)},
+ string_agg(field || '=' || f.tag, ',' ORDER BY field) AS tags, string_agg(field || '=' || f.accn || ' ' || f.form, ',' ORDER BY field) AS filings, max({{'filed': f.filed, 'accn': f.accn, 'form': f.form}}) AS latest
+ FROM ox_snap_w GROUP BY ticker, fiscal_year, day, known_accn, period_end"""
+_SNAP_VALUE = {x: x for x in _SNAP_FIELDS} | {"total_liabilities": "coalesce(total_liabilities, total_assets - total_equity)"}
+
+
+@query("res23_build_snapshots", f"""SELECT ticker, fiscal_year, known_from, known_accn, present, CASE WHEN present THEN period_end END AS period_end,
+ {', '.join(f"CASE WHEN present THEN {_SNAP_VALUE[x]} END AS {x}" if x in _SNAP_VALUE else f"CAST(NULL AS DOUBLE) AS {x}" for x in reg.FIELDS)},
+ CASE WHEN present THEN tags END AS tags, CASE WHEN present THEN filings END AS filings, CASE WHEN present THEN latest.accn END AS accn, CASE WHEN present THEN latest.filed END AS filed_date, CASE WHEN present THEN latest.form END AS form
+ FROM (SELECT *, lag(present) OVER w AS was_present, lag(state) OVER w AS was FROM (
+  SELECT *, CASE WHEN present THEN concat_ws('|', period_end, tags, filings, {', '.join(f"coalesce(CAST({x} AS VARCHAR), '-')" for x in _SNAP_FIELDS)}) ELSE 'gone' END AS state FROM ox_snap_s) s
+  WINDOW w AS (PARTITION BY ticker, fiscal_year ORDER BY known_from)) z WHERE CASE WHEN was_present IS NULL THEN present ELSE state IS DISTINCT FROM was END""")
 def res23(u):
-    return snapshots(u).drop("present")
+    entries = lambda m, say: F.array_join(F.transform(F.map_entries(m), say), ",")
+    return snapshots(u).select("ticker", "fiscal_year", "known_from", "known_accn", "present", "period_end", *reg.FIELDS,
+                               entries("source_tags", lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("tags"),
+                               entries("source_filings", lambda e: F.concat(e["key"], F.lit("="), e["value"]["accn"], F.lit(" "), e["value"]["form"])).alias("filings"), "accn", "filed_date", "form")
 
 
 def snapshots(u):
-    return u.shared("known_rows", lambda: rs.build_snapshots(u.f_main, registry(u), _SF))
+    return u.shared("known_rows", lambda: sn.build_snapshots(u.f_snap, registry(u)))
 
 
 @query("res24_changed_days", "SELECT DISTINCT ticker, filed AS day FROM ox_cand WHERE form IN ('10-K', '10-K/A')")
@@ -337,11 +358,6 @@ def res24(u):
     return rs.changed_days(u.f_main, registry(u))
 
 
-@query("res25_vintage_views", f"SELECT ticker, fiscal_year, accn, field, arg_max(v, {_ORD}) AS val FROM ox_cand WHERE {_AND} GROUP BY ticker, fiscal_year, accn, field", r="val")
-def res25(u):
-    return rs.vintage_views(rs.vintages(u.f_main, registry(u))).select("ticker", "fiscal_year", F.col("filing").alias("accn"), "field", "val")
-
-
 # ---- PIT: rows known from each filing day; a day in eleven drops the year from the record.
 
 R["si_known"] = """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from finstrata import registry as reg
 from finstrata import sinks
-from finstrata.operators import insiders, market, periods, resolve, splits, timeseries, valuation
+from finstrata.operators import insiders, market, periods, resolve, snapshots, splits, timeseries, valuation
 from finstrata.sources import files, filings
 
 
@@ -68,7 +68,7 @@ def test_snapshots_read_on_a_day_equal_the_record_rebuilt_from_facts_known_then(
                      dt.date(y + 1, 1, 1) + dt.timedelta(days=rnd.randrange(900))))
     facts = spark.createDataFrame(rows, "ticker string, tag string, unit string, start date, end date, val double, accn string, form string, filed date")
     r = reg.registry(spark)
-    known = resolve.build_snapshots(facts, r, ["revenue", "net_income"])
+    known = snapshots.build_snapshots(facts, r, ["revenue", "net_income"])
     day = F.lit("2018-06-30").cast("date")
     probes = facts.select("ticker", F.year("end").alias("fiscal_year")).distinct().withColumn("day", day)
     got = {(x["ticker"], x["fiscal_year"]): (x["revenue"], x["net_income"]) for x in resolve.as_of_annual(known, probes).collect()}
