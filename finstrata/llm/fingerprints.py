@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -24,38 +23,50 @@ RADIUS = 3
 SLOTS = 1 << 18
 #: Code points of texts a range partition should hold, and rows that meet in one task of a block table.
 PART_CHARS, CHUNK = 1 << 26, 4096
-#: Texts that a task holds at once.
-BATCH = 1000
+#: Texts that a task holds at once, and terms whose hashes it remembers.
+BATCH, MOST_DIGESTS = 1000, 1 << 19
 #: Fingerprints that share a block key by chance, when the number of blocks is chosen.
 BY_CHANCE = 64
 #: Tasks over which the rows of one fingerprint are dealt when counts are joined back.
 SALTS = 16
 
 
-@lru_cache(maxsize=1 << 18)
-def term_hash(term: bytes) -> int:
-    """The first 64 bits of the term's MD5."""
-    return int.from_bytes(hashlib.md5(term, usedforsecurity=False).digest()[:8], "big")
+class _Digests(dict):
+    """The first 8 bytes of terms' MD5; as many as MOST_DIGESTS are remembered."""
+
+    def __missing__(self, term: bytes) -> bytes:
+        if len(self) >= MOST_DIGESTS:
+            self.clear()
+        out = self[term] = hashlib.md5(term, usedforsecurity=False).digest()[:8]
+        return out
+
+
+_DIGESTS = _Digests()
 
 
 def _counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the text's distinct terms, and how often each stands there."""
+    """Hashes of the text's distinct terms (8 bytes each, the first 64 bits of MD5), and how often each stands there."""
     found = Counter(terms(text))
-    return np.array([term_hash(t) for t in found], np.uint64), np.array(list(found.values()), np.int64)
+    hashes = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, found)), ">u8")
+    return hashes, np.fromiter(found.values(), np.int64, len(found))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def fingerprint(text: str | None, weights: np.ndarray) -> int:
     """Signed 64-bit number: each term votes for its hash's one bits and against its zero bits with its occurrences
     times the weight of its slot; a bit is 1 if its votes are positive. A text without terms has 0."""
     hashes, times = _counted(text)
+    if not len(hashes):
+        return 0
+    weight = (times * weights[_slots(hashes)]).astype(np.float64)
     votes = np.zeros(BITS)
-    total = 0
     for i in range(0, len(hashes), 1 << 14):
-        h = hashes[i: i + (1 << 14)]
-        w = times[i: i + (1 << 14)] * weights[(h % np.uint64(SLOTS)).astype(np.int64)]
-        votes += w.astype(np.float64) @ np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
-        total += int(w.sum())
-    return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big", signed=True)
+        bits = np.unpackbits(hashes[i: i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1)
+        votes += weight[i: i + (1 << 14)] @ bits.astype(np.float64)
+    return int.from_bytes(np.packbits(2 * votes > weight.sum()).tobytes(), "big", signed=True)
 
 
 class Weights:
@@ -70,7 +81,7 @@ def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     df, n, chars = np.zeros(SLOTS, np.int64), 0, 0
     for batch in batches:
         for t in batch["t"]:
-            slots = np.unique(_counted(t)[0] % np.uint64(SLOTS)).astype(np.int64)
+            slots = np.unique(_slots(_counted(t)[0]))
             df[slots] += 1
             n += 1
             chars += len(t)
