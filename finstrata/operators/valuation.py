@@ -503,7 +503,7 @@ def _named_sector() -> Column:
     names = {"bank": "banks", "insurance": "insurers", "reit": "REITs"}
     named = F.coalesce(*[F.when(F.col("sector_class") == s, F.lit(n)) for s, n in names.items()],
                        F.concat(F.lit("sector '"), F.col("sector_class"), F.lit("'")))
-    return F.concat(F.lit("not meaningful for "), named)
+    return F.concat(F.lit("does not apply to "), named)
 
 
 def epv(annual_rows: DataFrame, market: DataFrame, wacc_of, total_debt: Column, as_of: Column | None = None) -> DataFrame:
@@ -530,7 +530,7 @@ def epv(annual_rows: DataFrame, market: DataFrame, wacc_of, total_debt: Column,
         return F.when(rate > 0, (F.col("__adj") / F.nullif(rate, F.lit(0.0)) - owed + cash) / F.nullif(F.col("__sh"), F.lit(0.0)))
 
     reasons = [(~F.col("sector_class").isin(*DCF_SECTORS), _named_sector()),
-               (F.col("debt_unknown"), "debt unknown: interest paid on debt no mapped tag holds"),
+               (F.col("debt_unknown"), "debt not on file though interest is paid"),
                (F.col("__n") < EPV_MIN_YEARS, f"operating income (or pretax income) and revenue in fewer than {EPV_MIN_YEARS} of the last {EPV_YEARS} fiscal years"),
                (~(F.coalesce(F.col("revenue"), F.lit(0.0)) > 0), "no revenue in the latest fiscal year"),
                (F.col("__adj") <= 0, "normalized after-tax operating earnings are not positive"),

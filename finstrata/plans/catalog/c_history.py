@@ -220,15 +220,15 @@ def his8(u):
 SELECT s.ticker, s.metric, s.date AS as_of, s.n >= 36 AND NOT hidden AS applicable, CASE WHEN NOT hidden THEN s.window_start END AS window_start,
   CAST(CASE WHEN hidden THEN 0 ELSE s.n END AS INT) AS n_months, """ + ", ".join(f"CASE WHEN NOT hidden THEN s.{c} END AS {c}" for c in _STAT.split()) + """,
   mid AS implied_value,
-  CASE WHEN s.metric = 'pffo' AND sector_class <> 'reit' THEN 'REITs only' WHEN hidden THEN 'not meaningful for ' || CASE sector_class WHEN 'bank' THEN 'banks' WHEN 'insurance' THEN 'insurers' ELSE 'REITs' END
-       WHEN s.n = 0 THEN 'no values' WHEN s.n < 36 THEN s.n || ' months of values, fewer than 36'
+  CASE WHEN s.metric = 'pffo' AND sector_class <> 'reit' THEN 'for REITs alone' WHEN hidden THEN 'does not apply to ' || CASE sector_class WHEN 'bank' THEN 'banks' WHEN 'insurance' THEN 'insurers' ELSE 'REITs' END
+       WHEN s.n = 0 THEN 'nothing to rank' WHEN s.n < 36 THEN 'only ' || s.n || ' of 36 months have a value'
        WHEN s.current IS NOT NULL THEN NULL
-       WHEN latest_period_end IS NULL THEN 'no trailing year known yet'
-       WHEN NOT fresh THEN 'the latest trailing year known (' || latest_period_end || ') is ' || point_age || ' days old'
-       WHEN s.metric = 'div_yield' THEN 'no dividends in the trailing year'
-       WHEN s.metric = 'ev_ebitda' AND base > 0 AND debt_missing THEN 'no long-term debt in the quarter to ' || latest_period_end || ', though its 10-Ks report some'
-       WHEN s.metric = 'ev_ebitda' AND base > 0 THEN 'the enterprise value is zero or negative (net cash at or above the market cap)'
-       WHEN base IS NULL THEN 'no ' || label || ' in the trailing year' ELSE label || ' is zero or negative' END AS na_reason
+       WHEN latest_period_end IS NULL THEN 'no trailing year on file by then'
+       WHEN NOT fresh THEN 'newest trailing year, to ' || latest_period_end || ', is ' || point_age || ' days back'
+       WHEN s.metric = 'div_yield' THEN 'nothing paid out in the past year'
+       WHEN s.metric = 'ev_ebitda' AND base > 0 AND debt_missing THEN 'long-term debt not shown at ' || latest_period_end || ' but shown at year ends'
+       WHEN s.metric = 'ev_ebitda' AND base > 0 THEN 'enterprise value not positive'
+       WHEN base IS NULL THEN label || ' missing for the trailing year' ELSE label || ' not positive' END AS na_reason
 FROM (SELECT s.*, sector_class, latest_period_end, fresh, point_age, debt_missing,
         (s.metric = 'pffo' AND sector_class <> 'reit') OR (sector_class = 'bank' AND s.metric IN ('pfcf', 'ev_ebitda'))
           OR (sector_class = 'insurance' AND s.metric = 'ev_ebitda') OR (sector_class = 'reit' AND s.metric = 'pfcf') AS hidden,
@@ -259,8 +259,8 @@ def his10(u):
 
 
 @query("his11_na_reason", """
-SELECT ticker, vendor, CASE WHEN vendor IS NULL OR vendor = 0 THEN 'no quote with a price to check the share count against'
-  WHEN greatest(ours, vendor) / least(ours, vendor) > 1.25 THEN 'our share count and the vendor''s differ ' || printf('%.2f', greatest(ours, vendor) / least(ours, vendor)) || 'x: another share class or units' END AS na_reason
+SELECT ticker, vendor, CASE WHEN vendor IS NULL OR vendor = 0 THEN 'no quoted share count to compare with'
+  WHEN greatest(ours, vendor) / least(ours, vendor) > 1.25 THEN 'share counts of filings and quote are a factor of ' || printf('%.2f', greatest(ours, vendor) / least(ours, vendor)) || ' apart' END AS na_reason
 FROM (SELECT p.ticker, arg_max(shares, period_end) AS ours, any_value(v.vendor) AS vendor FROM ox_points p JOIN
    (SELECT ticker, CASE WHEN max(beta) IS NOT NULL THEN max(shares_outstanding) * (0.6 + 0.4 * coalesce(max(beta), 1)) END AS vendor FROM si_snapshots GROUP BY ticker) v ON p.ticker = v.ticker GROUP BY p.ticker) x
 """, r="vendor")

@@ -206,11 +206,11 @@ def _miss(*pairs):
 
 
 @query("sco11_na_reasons", f"""
-SELECT c.ticker, CASE WHEN NOT c.{_nofin} THEN 'not meaningful for ' || {_NAME} WHEN b1.ticker IS NULL THEN 'needs fiscal year ' || (c.fiscal_year - 1) || ', which isn''t stored' END AS piotroski,
- CASE WHEN NOT c.{_nofin} OR c.sector_class = 'reit' THEN 'not meaningful for ' || {_NAME} WHEN altman_z IS NULL THEN {_miss(('c.total_assets', 'total assets'), ('c.total_liabilities', 'total liabilities'), ('c.current_assets', 'current assets'), ('c.current_liabilities', 'current liabilities'))} END AS altman,
- CASE WHEN NOT c.{_nofin} OR c.sector_class = 'reit' THEN 'not meaningful for ' || {_NAME} WHEN beneish_m IS NULL THEN {_miss(*[(f'v_{k}', k) for k in _V])} END AS beneish,
- CASE WHEN NOT c.{_nofin} THEN 'not meaningful for ' || {_NAME} WHEN c.debt_unknown THEN '{sc.DEBT_UNKNOWN}' END AS wacc,
- CASE WHEN c.roic IS NOT NULL THEN NULL WHEN NOT c.{_nofin} OR c.sector_class = 'reit' THEN 'no ROIC: not meaningful for ' || {_NAME} WHEN c.debt_unknown THEN 'no ROIC: {sc.DEBT_UNKNOWN}' ELSE 'no ROIC: invested capital (equity + debt - cash) of 0 or less' END AS roic,
+SELECT c.ticker, CASE WHEN NOT c.{_nofin} THEN 'does not apply to ' || {_NAME} WHEN b1.ticker IS NULL THEN 'year ' || (c.fiscal_year - 1) || ' is not on file' END AS piotroski,
+ CASE WHEN NOT c.{_nofin} OR c.sector_class = 'reit' THEN 'does not apply to ' || {_NAME} WHEN altman_z IS NULL THEN {_miss(('c.total_assets', 'total assets'), ('c.total_liabilities', 'total liabilities'), ('c.current_assets', 'current assets'), ('c.current_liabilities', 'current liabilities'))} END AS altman,
+ CASE WHEN NOT c.{_nofin} OR c.sector_class = 'reit' THEN 'does not apply to ' || {_NAME} WHEN beneish_m IS NULL THEN {_miss(*[(f'v_{k}', k) for k in _V])} END AS beneish,
+ CASE WHEN NOT c.{_nofin} THEN 'does not apply to ' || {_NAME} WHEN c.debt_unknown THEN '{sc.DEBT_UNKNOWN}' END AS wacc,
+ CASE WHEN c.roic IS NOT NULL THEN NULL WHEN NOT c.{_nofin} OR c.sector_class = 'reit' THEN 'ROIC does not apply to ' || {_NAME} WHEN c.debt_unknown THEN 'ROIC unknown: {sc.DEBT_UNKNOWN}' ELSE 'ROIC undefined: the capital invested is not positive' END AS roic,
  CASE WHEN ncav_per_share IS NULL THEN {_miss(('c.current_assets', 'current assets'), ('c.total_liabilities', 'total liabilities'))} END AS ncav
 FROM ox_cur c LEFT JOIN ox_b1 b1 ON c.ticker = b1.ticker JOIN ox_altman a ON a.ticker = c.ticker JOIN ox_beneish e ON e.ticker = c.ticker JOIN ox_magic g ON g.ticker = c.ticker
 """)
@@ -457,7 +457,7 @@ def _epv(d):
 standin.RELATIONS["ox_i_epv"] = f"""
 SELECT ticker, na_reason IS NULL AS applicable, na_reason, CASE WHEN na_reason IS NULL THEN b1 END AS value_bear, CASE WHEN na_reason IS NULL THEN b2 END AS value_base, CASE WHEN na_reason IS NULL THEN b3 END AS value_bull FROM (
 SELECT c.ticker, ({_epv('+ 0.01')}) / 90500 AS b1, ({_epv('')}) / 90500 AS b2, ({_epv('- 0.01')}) / 90500 AS b3,
- CASE WHEN c.sector_class <> 'general' THEN 'not meaningful for ' || {_NAME} WHEN c.debt_unknown THEN '{sc.DEBT_UNKNOWN}' WHEN {_ADJ} <= 0 THEN 'normalized after-tax operating earnings are not positive' END AS na_reason
+ CASE WHEN c.sector_class <> 'general' THEN 'does not apply to ' || {_NAME} WHEN c.debt_unknown THEN '{sc.DEBT_UNKNOWN}' WHEN {_ADJ} <= 0 THEN 'normalized after-tax operating earnings are not positive' END AS na_reason
 FROM ox_cur c JOIN ox_wacc w ON w.ticker = c.ticker JOIN (SELECT ticker, avg(operating_income / revenue) FILTER (revenue > 0) AS mean_m FROM ox_rows WHERE fiscal_year > last_fy - 5 GROUP BY ticker) a ON a.ticker = c.ticker) x
 """
 
@@ -473,7 +473,7 @@ def ind2(u):
 
 standin.RELATIONS["ox_i_ncav"] = """
 SELECT ticker, na_reason IS NULL AS applicable, na_reason, CASE WHEN na_reason IS NULL AND nn > 0 THEN nn END AS value_bear, CASE WHEN na_reason IS NULL THEN nc END AS value_base, CAST(NULL AS DOUBLE) AS value_bull FROM (
-SELECT *, CASE WHEN sector_class IN ('bank', 'insurance') THEN 'not meaningful for ' || CASE sector_class WHEN 'bank' THEN 'banks' ELSE 'insurers' END || ' (no current assets)' WHEN nc IS NULL THEN 'no current assets or total liabilities' WHEN nc <= 0 THEN 'net current assets are negative: total liabilities exceed current assets' END AS na_reason
+SELECT *, CASE WHEN sector_class IN ('bank', 'insurance') THEN 'does not apply to ' || CASE sector_class WHEN 'bank' THEN 'banks' ELSE 'insurers' END || ' (no current assets)' WHEN nc IS NULL THEN 'no current assets or total liabilities' WHEN nc <= 0 THEN 'net current assets are negative: total liabilities exceed current assets' END AS na_reason
 FROM (SELECT ticker, sector_class, (current_assets - total_liabilities) / shares AS nc, (coalesce(cash_and_equivalents, 0) + coalesce(short_term_investments, 0) + 0.75 * coalesce(accounts_receivable, 0) + 0.5 * coalesce(inventory, 0) - total_liabilities) / shares AS nn FROM ox_cur) y) x
 """
 
@@ -485,8 +485,8 @@ def ind3(u):
 
 standin.RELATIONS["ox_i_ps_value"] = """
 SELECT c.ticker, na_reason IS NULL AS applicable, na_reason, CASE WHEN na_reason IS NULL THEN mid * p25 / median END AS value_bear, CASE WHEN na_reason IS NULL THEN mid END AS value_base, CASE WHEN na_reason IS NULL THEN mid * p75 / median END AS value_bull
-FROM si_company c LEFT JOIN (SELECT s.*, i.mid, CASE WHEN s.n = 0 THEN 'no P/S range: no values' WHEN s.n < 36 THEN 'no P/S range: ' || s.n || ' months of values, fewer than 36' WHEN i.mid IS NULL AND s.current IS NULL THEN
-   'no current P/S value: the latest trailing year known (' || latest_period_end || ') is ' || point_age || ' days old' END AS na_reason
+FROM si_company c LEFT JOIN (SELECT s.*, i.mid, CASE WHEN s.n = 0 THEN 'no P/S range: nothing to rank' WHEN s.n < 36 THEN 'no P/S range: ' || 'only ' || s.n || ' of 36 months have a value' WHEN i.mid IS NULL AND s.current IS NULL THEN
+   'no current P/S value: newest trailing year, to ' || latest_period_end || ', is ' || point_age || ' days back' END AS na_reason
   FROM ox_stats s JOIN ox_multiples m ON m.ticker = s.ticker AND m.date = s.date LEFT JOIN ox_implied i ON i.ticker = s.ticker AND i.date = s.date AND i.metric = 'ps'
   WHERE s.metric = 'ps' AND (s.ticker, s.date) IN (SELECT (ticker, max(date)) FROM ox_months GROUP BY ticker)) x ON x.ticker = c.ticker
 """
