@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finstrata.llm.common import written
-from finstrata.llm.wordhash import gram_hashes, token_hashes
+from finstrata.llm.wordhash import gram_hashes, pick_hashes, token_hashes
 
-#: Words of a seed; of each SPREAD seeds in a row of an item the rarest in the corpus serves.
-SEED_WORDS, SPREAD = 4, 2
+#: Words of a seed; of each SPREAD seeds in a row of an item the rarest in the corpus serves. Seeds with a gap before the
+#: last word (words 1, 2, 3 and 5) all serve.
+SEED_WORDS, SPREAD, GAPPED = 4, 2, (0, 1, 2, 4)
 #: Share of an item's words that alignments must score, the words each must score of any item that long, and the words that suffice of an item of any length.
 SCORE, LEAST_WORDS, ENOUGH_WORDS = 0.4, 8, 30
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
@@ -54,26 +54,36 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best, first, last
 
 
+def seeds_of(words: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of the runs of *n* words and, of full seeds, of those with a gap, by the word they begin at.
+
+    Both hash the words alone, so a run also meets a gap: there a word was left out or put in.
+    """
+    return [gram_hashes(words, n)] + ([pick_hashes(words, GAPPED)] if n == SEED_WORDS else [])
+
+
 class Items:
     """Test items as word hashes, and the seeds that point at them."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = ids
         self.words = [token_hashes([t])[0] for t in texts]
-        self.grams = [gram_hashes(w, min(SEED_WORDS, max(len(w), 1))) for w in self.words]
+        self.grams = [seeds_of(w, min(SEED_WORDS, max(len(w), 1))) for w in self.words]
 
     def all_grams(self, words: int) -> np.ndarray:
-        parts = [g for g, w in zip(self.grams, self.words, strict=True) if len(g) and min(SEED_WORDS, len(w)) == words]
+        parts = [g for own, w in zip(self.grams, self.words, strict=True) if min(SEED_WORDS, len(w)) == words for g in own]
         return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
     def seeds(self, spread: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
         """hash -> (item, word) of the seeds that serve, by how many documents have each n-gram."""
         out: dict[int, list[tuple[int, int]]] = {}
-        for i, grams in enumerate(self.grams):
+        for i, (grams, *gapped) in enumerate(self.grams):
             g = grams.tolist()
             serve = {min(range(k, min(k + SPREAD, len(g))), key=lambda j: (spread.get(g[j], 0), g[j])) for k in range(max(len(g) - SPREAD + 1, min(len(g), 1)))}
             for k in serve:
                 out.setdefault(g[k], []).append((i, k))
+            for k, h in enumerate(gapped[0].tolist() if gapped else ()):
+                out.setdefault(h, []).append((i, k))
         return out
 
 
@@ -133,11 +143,11 @@ def _passages(items: Items, seeds: dict, keys: Members, words: np.ndarray, thres
     """(item, score, matched words, first, last word) of the items that *words* holds: the best place of each, or if that isn't enough, all its places."""
     at: dict[int, set[int]] = {}  # item -> where it would begin
     for n in {min(SEED_WORDS, len(w)) for w in items.words if len(w)}:
-        grams = gram_hashes(words, n)
-        for k in keys.where(grams):
-            for i, j in seeds.get(int(grams[k]), ()):
-                if min(SEED_WORDS, len(items.words[i])) == n:
-                    at.setdefault(i, set()).add(int(k) - j)
+        for grams in seeds_of(words, n):
+            for k in keys.where(grams):
+                for i, j in seeds.get(int(grams[k]), ()):
+                    if min(SEED_WORDS, len(items.words[i])) == n:
+                        at.setdefault(i, set()).add(int(k) - j)
     out = []
     for i, hits in at.items():
         item = items.words[i]
@@ -169,8 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE
     The best alignment is told if it is enough, else the best ones together until they are: their sum, and the first
     and last word of them all. They share no word of the item, so a passage that is repeated counts once.
 
-    Words are runs of letters and digits, lower-cased. Of each two seeds in a row of an item, the one in the fewest
-    documents serves, however frequent it is, so any copied stretch of five words is found. The benchmark is looked up
+    Words are runs of letters, marks and digits, lower-cased; in scripts without spaces every character is one. Of each
+    two seeds in a row of an item, the one in the fewest documents serves, however frequent it is, so any copied stretch
+    of five words is found; seeds with a gap find copies of which every fourth word is changed, left out or added to. The benchmark is looked up
     inside the tasks that read the documents, in parts of bounded size, so no document is shuffled. The documents that
     hold any n-gram of the benchmark are kept for the second step.
 
@@ -191,7 +202,7 @@ def _parts(rows: DataFrame) -> Iterator[Items]:
     for r in rows.orderBy("i", "t").toLocalIterator():
         ids.append(r["i"])
         texts.append(r["t"])
-        size += len(re.findall(r"\w+", r["t"]))
+        size += len(token_hashes([r["t"]])[0])
         if size >= PART_WORDS:
             yield Items(ids, texts)
             ids, texts, size = [], [], 0
@@ -207,7 +218,7 @@ def _contaminated_by(items: Items, docs: DataFrame, threshold: float) -> DataFra
         for batch in batches:
             kept, grams = [], []
             for k, words in enumerate(token_hashes(batch["text"].tolist())):
-                own = [g[table.where(g)] for n, table in known.items() if len(g := gram_hashes(words, n))]
+                own = [g[table.where(g)] for n, table in known.items() for g in seeds_of(words, n)]
                 own = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
                 if len(own):
                     kept.append(k)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import time
 
 import numpy as np
@@ -101,6 +102,58 @@ def test_word_hashes():
     assert len(gram_hashes(got[0], 3)) == len(got[0]) - 2 and len(gram_hashes(got[1], 3)) == 0
 
 
+def _script_words(text):
+    """Words one character at a time: marks and letters run on, characters of scripts without spaces stand alone."""
+    out, open_ = [], False
+    for c in text.lower():
+        alone = re.match(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]", c)
+        if unicodedata.category(c)[0] not in "LMN":
+            open_ = False
+        elif alone or not open_:
+            out.append(c)
+            open_ = not alone
+        else:
+            out[-1] += c
+    return out
+
+
+def test_words_of_all_scripts():
+    texts = ["这是一个测试，包含标点。第二句！", "abc中文def 𠀀𠀁x", "ภาษาไทยไม่มีช่องว่าง", "ひらがなとカタカナー、漢字", "مَرْحَبًا، بالعالم؟ نعم", "हिन्दी में, लिखा।", "e\u0301t\u00e9 \u0130x 😀y", "\ud800 bad"]
+    got = token_hashes(texts, block=30)
+    want = [_script_words(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    seen = {}
+    for w, h in zip(sum(want, []), np.concatenate(got).tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def _written_in(script, n, rng):
+    lo, hi, join = {"zh": (0x4E00, 0x5200, ""), "th": (0x0E01, 0x0E2E, ""), "ar": (0x0627, 0x064A, " "), "en": (0x61, 0x7A, " ")}[script]
+    return join, ["".join(chr(rng.randrange(lo, hi)) for _ in range(1 if join == "" else 5)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("script", ["zh", "th", "ar", "en"])
+def test_edited_copies_in_scripts(spark, script):
+    rng = random.Random(8)
+    items, docs, other = [], [], lambda n: _written_in(script, n, rng)[1]
+    for i in range(8):
+        join, w = _written_in(script, 32, rng)
+        items.append((i, join.join(w)))
+        swap, drop, add = list(w), [x for k, x in enumerate(w) if k % 4 != 3], []
+        for k, x in enumerate(w):
+            swap[k] = other(1)[0] if k % 4 == 3 else x
+            add += [x, *other(k % 4 == 3)]
+        for kind, copy in enumerate((w, swap, drop, add)):
+            docs.append((10 * i + kind, join.join([*other(40), *copy, *other(30)])))
+    docs += [(1000 + k, join.join(other(120))) for k in range(20)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()}
+    words = {d: _script_words(t) for d, t in docs}
+    want = {(d, i) for i, x in items for d, _ in docs if _sw(_script_words(x), words[d]) >= max(0.4 * len(_script_words(x)), 8)}
+    assert {(10 * i + k, i) for i in range(8) for k in range(4)} <= want == got
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     prose = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
