@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstrata.operators.facts import AGREE, BALANCE_TOTAL, DATED, MATURITIES, NONCURRENT, _wide, agree
+from finstrata.operators.facts import AGREE, BALANCE_TOTAL, DATED, MATURITIES, NONCURRENT, agree
+from finstrata.session import as_table
 
 # Tags and tolerances of the rules.
 DEBT, BORROWINGS, PAPER, REFINANCED, TOTAL, APART = "DebtCurrent", "ShortTermBorrowings", "CommercialPaper", "ShortTermDebtRefinancedAmount", "LongTermDebt", "LongTermDebtNoncurrent"
@@ -28,9 +29,9 @@ def _zero(c: str) -> Column:
 
 def _by_date(facts: DataFrame, names: dict[str, str]) -> DataFrame:
     """Each filing date's figures side by side, with the filing's form and day."""
-    f = facts.where(F.col("tag").isin(*names) & (F.col("unit") == "USD") & F.col("start").isNull() & F.col("accn").isNotNull() & F.col("val").isNotNull())
-    day = f.groupBy(*DATED).agg(F.max("form").alias("form"), F.max("filed").alias("filed"))
-    return _wide(f, DATED, names).join(day, DATED)
+    f = facts.where(F.col("tag").isin(*names) & (F.col("unit") == "USD") & F.col("start").isNull() & F.col("val").isNotNull())
+    f = f.dropna(subset=DATED)
+    return f.groupBy(*DATED).agg(*[F.max(F.when(F.col("tag") == t, F.col("val"))).alias(n) for t, n in names.items()], F.max("form").alias("form"), F.max("filed").alias("filed"))
 
 
 def _maturities() -> Column:
@@ -83,7 +84,8 @@ def current_debt_combinations(facts: DataFrame, view: str = "annual") -> tuple[D
     parts = sum((F.greatest(_zero(f"p{i}"), F.lit(0.0)) for i in range(len(PARTS))), F.lit(0.0))
     w = w.withColumn("parts", parts)
     own_line = F.coalesce(F.col("sb").isNotNull() & (F.col("parts") > 0) & agree(F.col("sb"), F.col("parts")) & (_maturities() > 0) & (_maturities() != F.col("sb")), F.lit(False)).cast("int")
-    w = w.withColumn("elsewhere", F.sum(own_line).over(Window.partitionBy("ticker", "accn")) - own_line > 0)
+    # Read nine times over below.
+    w = as_table(w.withColumn("elsewhere", F.sum(own_line).over(Window.partitionBy("ticker", "accn")) - own_line > 0), "current-debt")
     held_by_total = w.where(F.col("m1").isNotNull() & F.col("holds_total")).select(*DATED)
     m = [F.when(F.col(c) > 0, F.col(c)) for c in ("m0", "m1")]
     d = w.where((F.col("sb") >= 0) & F.col("dc").isNull() & F.coalesce(*m).isNotNull() & ~F.col("holds_total"))
@@ -116,8 +118,9 @@ def current_debt_combined(facts: DataFrame, view: str = "annual", judged: tuple[
     *judged*: the combinations, where they were judged on other facts than these.
     """
     combined, held = judged or current_debt_combinations(facts, view)
-    kept = facts.join(held.withColumn("tag", F.lit(MATURITIES[1])), [*DATED, "tag"], "left_anti")
-    return kept.unionByName(combined.withColumns({"tag": F.lit(DEBT), "unit": F.lit("USD"), "start": F.lit(None).cast("date")}).select(*facts.columns))
+    hit = F.coalesce(F.col("tag") == MATURITIES[1], F.lit(False))
+    kept = facts.where(hit).join(held, DATED, "left_anti").select(*facts.columns)
+    return facts.where(~hit).unionByName(kept).unionByName(combined.withColumns({"tag": F.lit(DEBT), "unit": F.lit("USD"), "start": F.lit(None).cast("date")}).select(*facts.columns))
 
 
 def current_debt_set_aside(facts: DataFrame, view: str = "annual", combined: DataFrame | None = None) -> DataFrame:
@@ -130,9 +133,9 @@ def current_debt_set_aside(facts: DataFrame, view: str = "annual", combined: Dat
     latest paper filed before, or 0 where its own figure holds it.
     """
     names = {DEBT: "dc", BORROWINGS: "sb", PAPER: "cp", **{x: f"m{i}" for i, x in enumerate(MATURITIES)}}
-    w = _by_date(facts, names)
+    w = as_table(_by_date(facts, names), "short-term-debt")
     moved = facts.where((F.col("tag") == REFINANCED) & (F.col("unit") == "USD")).groupBy(*DATED).agg(F.max("val").alias("moved"))
-    before = w.join(moved, DATED).where((F.col("moved") > 0) & agree(F.col("dc") - F.col("moved"), F.col("sb"))).select(*DATED, F.lit(DEBT).alias("tag"))
+    before = w.join(moved, DATED).where((F.col("moved") > 0) & agree(F.col("dc") - F.col("moved"), F.col("sb"))).select(*DATED)
     w = w.withColumn("holder", F.when(F.col("dc").isNotNull(), F.when(F.col("dc") >= _maturities() * (1 - AGREE), F.col("dc"))).otherwise(F.col("sb")))
     inside = lambda holder, paper: F.coalesce((paper > 0) & (F.coalesce(holder, F.lit(0.0)) >= paper * (1 - PAPER_ROUNDING)), F.lit(False))
     stated = None
@@ -149,8 +152,12 @@ def current_debt_set_aside(facts: DataFrame, view: str = "annual", combined: Dat
         r = r.withColumn("paper", F.last("cp", ignorenulls=True).over(date.rowsBetween(Window.unboundedPreceding, -1)))
         held = r.where(F.col("cp").isNotNull() & F.col("source").isNotNull() & inside(F.col("source.holder"), F.col("cp"))).select(*DATED)
         stated = r.where(F.col("cp").isNull() & shows & (F.col("paper") > 0)).select(*DATED, "form", "filed", F.when(inside(F.col("holder"), F.col("paper")), 0.0).otherwise(F.col("paper")).alias("val"))
-    kept = facts.join(before, [*DATED, "tag"], "left_anti").join(held.select(*DATED, F.lit(PAPER).alias("tag"), F.lit(True).alias("__in")), [*DATED, "tag"], "left")
-    out = kept.withColumn("val", F.when(F.col("__in"), 0.0).otherwise(F.col("val"))).select(*facts.columns)
+    # Only the two tags that may change meet their dates; all other facts pass by.
+    tag = F.coalesce("tag", F.lit(""))
+    debt = facts.where(tag == DEBT).join(before, DATED, "left_anti").select(*facts.columns)
+    paper = facts.where(tag == PAPER).join(held.select(*DATED, F.lit(True).alias("__in")), DATED, "left")
+    paper = paper.withColumn("val", F.when(F.col("__in"), 0.0).otherwise(F.col("val"))).select(*facts.columns)
+    out = facts.where(~tag.isin(DEBT, PAPER)).unionByName(debt).unionByName(paper)
     if stated is not None:
         out = out.unionByName(stated.withColumns({"tag": F.lit(PAPER), "unit": F.lit("USD"), "start": F.lit(None).cast("date")}).select(*facts.columns))
     return out

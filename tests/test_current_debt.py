@@ -70,3 +70,17 @@ def test_paper_inside_the_short_term_figure_reads_zero(spark):
 def test_a_vintage_states_the_latest_paper(spark):
     f = facts(spark, *at(Y, "k1", "10-K", "2024-02-01", **{CP: 40}), *at(Y, "k2", "10-K", "2025-02-01", **{SB: 45}), *at(Y, "k3", "10-K", "2026-02-01", **{LTC: 5}))
     assert read(cd.current_debt_set_aside(f, "vintage"), CP) == {("k1", Y): 40.0, ("k2", Y): 0.0, ("k3", Y): 40.0}
+
+
+def test_filing_dates_are_read_once(spark):
+    f = facts(spark, *at(Y, **{SB: 100, LTC: 60, CP: 40}), *at("2024-03-31", "q", "10-Q", "2024-05-01", **{SB: 90, LTC: 50}))
+    aggregates = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("pivot") + df._jdf.queryExecution().optimizedPlan().toString().count("max(CASE WHEN (tag#")
+    combined, held = cd.current_debt_combinations(f, "quarterly")
+    assert aggregates(combined) == aggregates(held) == 0
+    assert aggregates(cd.current_debt_set_aside(f, "quarterly", combined)) == 0
+
+
+def test_facts_of_no_tag_or_date_pass_by(spark):
+    f = facts(spark, *at(Y, **{SB: 100, LTC: 60, CP: 40})).union(spark.createDataFrame([("A", None, "USD", None, None, 7.0, None, None, None), (None, CP, "USD", None, None, 8.0, "z", None, None)], FACT))
+    for out in (cd.current_debt_combined(f, "annual"), cd.current_debt_set_aside(f, "annual")):
+        assert {7.0, 8.0} <= {r["val"] for r in out.collect()}
