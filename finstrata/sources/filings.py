@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finstrata.session import as_table
+
 _ENTRY = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 FACTS_SCHEMA = (f"cik bigint, entityName string, ticker string, "
                 f"facts map<string,map<string,struct<label:string,units:map<string,array<{_ENTRY}>>>>>")
@@ -38,41 +40,54 @@ def read_company_facts(spark: SparkSession, path: str, multi_line: bool = True)
 
 # ---- XBRL instances
 
-_RAW = ("accn string, kind string, id string, start string, end string, cik string, dimensional boolean, taxonomy string, concept string, "
-        "context string, unit string, text string, decimals string")
+_RAW = ("accn string, filer string, taxonomy string, concept string, start string, end string, cik string, dimensional boolean, "
+        "unit_name string, text string, decimals string")
+#: Rows handed over at once.
+_ROWS = 20_000
 # Namespaces whose concepts are standard taxonomies.
 _TAXONOMY = re.compile(r"^https?://(?:fasb\.org|xbrl\.sec\.gov|xbrl\.ifrs\.org/taxonomy)/(?:\d{4}-\d{2}-\d{2}/)?([a-z-]+)")
 _X = "{http://www.xbrl.org/2003/instance}"
 
 
-def _instance_rows(accn: str, content: bytes) -> Iterator[tuple]:
-    """The contexts, units and facts of one instance, as flat rows."""
+def _instance_rows(accn: str, filer: str | None, content: bytes) -> Iterator[tuple]:
+    """The facts of one instance, each with every context and unit of its own that it names; Nones where it has none."""
     local = lambda t: (t or "").strip().rsplit(":", 1)[-1]
+    contexts: dict[str | None, list[tuple]] = {}
+    units: dict[str | None, list[str]] = {}
+    facts = []
     for _, el in ET.iterparse(io.BytesIO(content)):
         if el.tag == _X + "context":
             who = el.find(_X + "entity")
             date = lambda n: (el.findtext(f"{_X}period/{_X}{n}") or "").strip()[:10] or None
             dim = who is None or who.find(_X + "segment") is not None or el.find(_X + "scenario") is not None
-            yield (accn, "context", el.get("id"), date("startDate"), date("instant") or date("endDate"),
-                   ((who.findtext(_X + "identifier") if who is not None else None) or "").strip(), dim, None, None, None, None, None, None)
+            contexts.setdefault(el.get("id"), []).append((date("startDate"), date("instant") or date("endDate"),
+                                                          ((who.findtext(_X + "identifier") if who is not None else None) or "").strip(), dim))
         elif el.tag == _X + "unit":
             over = el.find(_X + "divide")
             sides = [over.find(_X + "unitNumerator"), over.find(_X + "unitDenominator")] if over is not None else [el]
-            name = "/".join("*".join(local(m.text) for m in s.iter(_X + "measure")) for s in sides if s is not None)
-            yield (accn, "unit", el.get("id"), None, None, None, None, None, None, None, name, None, None)
+            units.setdefault(el.get("id"), []).append("/".join("*".join(local(m.text) for m in s.iter(_X + "measure")) for s in sides if s is not None))
         elif el.get("contextRef") is not None and el.tag[0] == "{":
             uri, concept = el.tag[1:].split("}", 1)
             found = _TAXONOMY.match(uri)
             if found and (el.get("unitRef") is not None or found.group(1) == "dei"):
-                yield (accn, "fact", None, None, None, None, None, found.group(1), concept, el.get("contextRef"), el.get("unitRef"), el.text, el.get("decimals"))
+                facts.append((found.group(1), concept, el.get("contextRef"), el.get("unitRef"), el.text, el.get("decimals")))
+    units.pop(None, None)
+    for taxonomy, concept, context, unit, text, decimals in facts:
+        for where in contexts.get(context, [(None, None, None, None)]):
+            for name in units.get(unit, [None]):
+                yield (accn, filer, taxonomy, concept, *where, name, text, decimals)
 
 
 def _parse_instances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in _RAW.split(", ")]
     for pdf in batches:
-        for accn, content in zip(pdf["accn"], pdf["content"]):
-            body = content if isinstance(content, bytes) else content.encode()
-            yield pd.DataFrame(list(_instance_rows(accn, body)), columns=names, dtype="object")
+        rows: list[tuple] = []
+        for accn, filer, content in zip(pdf["accn"], pdf["filer"], pdf["content"]):
+            rows.extend(_instance_rows(accn, filer, content if isinstance(content, bytes) else content.encode()))
+            if len(rows) >= _ROWS:
+                yield pd.DataFrame(rows, columns=names, dtype="object")
+                rows = []
+        yield pd.DataFrame(rows, columns=names, dtype="object")
 
 
 def frame_of(start: Column, end: Column) -> Column:
@@ -89,25 +104,23 @@ def parse_xbrl_instances(docs: DataFrame) -> DataFrame:
 
     Standard taxonomies, the filer's own contexts without dimensions, a unit and a value; of repeats the most precise.
     """
-    raw = docs.select("accn", "content").mapInPandas(_parse_instances, _RAW)
-    about = docs.select("accn", "ticker", F.col("cik").cast("bigint").alias("__cik"), "form", "filed")
-    ctx = (raw.where((F.col("kind") == "context") & ~F.col("dimensional") & F.col("end").isNotNull()).join(about.select("accn", "__cik"), "accn")
-           .where(F.col("cik").try_cast("bigint").isNull() | (F.col("cik").try_cast("bigint") == F.col("__cik")))
-           .select("accn", F.col("id").alias("context"), F.to_date(F.nullif("start", "end")).alias("start"), F.to_date("end").alias("end")))
-    units = raw.where(F.col("kind") == "unit").select("accn", F.col("id").alias("unit"), F.col("unit").alias("unit_name"))
-    facts = raw.where(F.col("kind") == "fact").select("accn", "taxonomy", "concept", "context", "unit", "text", "decimals")
-    focus = (facts.where((F.col("taxonomy") == "dei") & F.col("concept").isin("DocumentFiscalYearFocus", "DocumentFiscalPeriodFocus"))
-             .join(ctx.select("accn", "context").withColumn("__plain", F.lit(1)), ["accn", "context"], "left"))
+    filer = F.col("cik").cast("bigint")
+    about = docs.select("accn", "ticker", "form", "filed")
+    number = F.col("cik").try_cast("bigint")
+    plain = ~F.col("dimensional") & F.col("end").isNotNull() & (number.isNull() | (number == F.col("filer").cast("bigint")))
+    facts = docs.where(F.col("accn").isNotNull()).select("accn", filer.cast("string").alias("filer"), "content").mapInPandas(_parse_instances, _RAW)
+    facts = as_table(facts.withColumn("__plain", F.when(plain, 1)), "xbrl-facts")
+    focus = facts.where((F.col("taxonomy") == "dei") & F.col("concept").isin("DocumentFiscalYearFocus", "DocumentFiscalPeriodFocus"))
     order = F.struct(F.coalesce("__plain", F.lit(0)), F.trim("text"))
     focus = focus.groupBy("accn").agg(*[F.max_by(F.trim("text"), F.when((F.col("concept") == c) & (F.trim("text") != ""), order)).alias(n)
                                         for c, n in (("DocumentFiscalYearFocus", "fy"), ("DocumentFiscalPeriodFocus", "fp"))])
     val = F.round(F.trim("text").try_cast("decimal(38,10)"), 6).cast("double")
     d = F.upper(F.trim("decimals"))
     precision = F.when(d.isNull() | (d == "INF"), 1e9).otherwise(F.coalesce(d.try_cast("double"), F.lit(-1e9)))
-    j = (facts.join(ctx, ["accn", "context"]).join(units, ["accn", "unit"]).withColumns({"val": val, "__p": precision})
-         .where(F.col("val").isNotNull() & (F.col("unit_name") != "")))
+    j = (facts.where((F.col("__plain") == 1) & (F.col("unit_name") != ""))
+         .withColumns({"val": val, "__p": precision, "start": F.to_date(F.nullif("start", "end")), "end": F.to_date("end")}).where(F.col("val").isNotNull()))
     kept = j.groupBy("accn", "taxonomy", "concept", "unit_name", "start", "end").agg(F.max_by("val", F.struct("__p", "val")).alias("val"))
-    return (kept.join(about.drop("__cik"), "accn").join(focus, "accn", "left")
+    return (kept.join(about, "accn").join(focus, "accn", "left")
             .select("ticker", "taxonomy", F.col("concept").alias("tag"), F.col("unit_name").alias("unit"), "start", "end", "val", "accn",
                     F.col("fy").try_cast("int").alias("fy"), "fp", "form", "filed", frame_of(F.col("start"), F.col("end")).alias("frame")))
 
