@@ -16,7 +16,8 @@ def records(u):
     holder = F.array(F.struct(F.col("company_name").alias("Holder"), F.col("market_cap").alias("Shares"), F.col("current_price").alias("Value"), F.date_format("collected_at", "yyyy-MM-dd").alias("Date Reported")))
     quarter = F.array(F.struct(F.date_format("collected_at", "yyyy-MM-dd").alias("quarter"), F.col("current_price").alias("EPS_Estimate"), F.col("beta").alias("epsActual")), F.struct(F.lit(None).cast("string").alias("quarter"), F.lit(1.0).alias("EPS_Estimate"), F.lit(2.0).alias("epsActual")))
     line = F.to_json(F.struct("ticker", F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss").alias("collected_at"), info.alias("info"), F.to_json(holder).alias("institutional_holders"), F.to_json(quarter).alias("earnings")))
-    return vendor.read_vendor_records(u.spark, landed(u, "vendor_info", lambda p: s.select(line.alias("value")).write.text(p)))
+    # Compressed files can't be split, so a file holds a bounded number of records.
+    return vendor.read_vendor_records(u.spark, landed(u, "vendor_info", lambda p: s.select(line.alias("value")).write.option("maxRecordsPerFile", 50_000).text(p, compression="gzip")))
 
 
 _S = "FROM si_snapshots s JOIN (SELECT ticker, company_name, sic, CAST(substr(ticker, 2) AS INT) AS n FROM si_company) c ON c.ticker = s.ticker"
