@@ -28,28 +28,34 @@ def _zero(c: str) -> Column:
 
 
 def _by_date(facts: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Each filing date's figures side by side, with the filing's form and day."""
+    """Each filing date's figures side by side, with the filing's form and day.
+
+    Facts meet by filing date as they are, narrow, and are put side by side there. A form is a text, which a hashed aggregate
+    cannot keep as a maximum, so it is a key first; a date's forms (mostly one) then give way to the last of them.
+    """
     f = facts.where(F.col("tag").isin(*names) & (F.col("unit") == "USD") & F.col("start").isNull() & F.col("val").isNotNull())
-    f = f.dropna(subset=DATED)
-    return f.groupBy(*DATED).agg(*[F.max(F.when(F.col("tag") == t, F.col("val"))).alias(n) for t, n in names.items()], F.max("form").alias("form"), F.max("filed").alias("filed"))
+    f = f.dropna(subset=DATED).select(*DATED, F.array_position(F.array(*map(F.lit, names)), F.col("tag")).cast("int").alias("__i"), "val", "form", "filed")
+    figures = lambda c: [F.max(c(i, n)).alias(n) for i, n in enumerate(names.values(), 1)]
+    f = f.repartition(*DATED).groupBy(*DATED, "form").agg(*figures(lambda i, n: F.when(F.col("__i") == i, F.col("val"))), F.max("filed").alias("filed"))
+    return f.groupBy(*DATED).agg(*figures(lambda i, n: F.col(n)), F.max("form").alias("form"), F.max("filed").alias("filed"))
 
 
 def _maturities() -> Column:
     return F.greatest(_zero("m0"), _zero("m1"), F.lit(0.0))
 
 
-def _read(facts: DataFrame, view: str) -> DataFrame:
-    """Filing dates with ``holds_total`` (a long-term total that holds the maturities is read there)."""
+def _read(facts: DataFrame) -> DataFrame:
+    """Filing dates with ``kept`` (a long-term total that holds the maturities is read there)."""
     w = _by_date(facts, _NAMES)
     line = F.coalesce(*[F.col(f"n{i}") for i in range(len(NONCURRENT))])
     kept = F.col("t").isNotNull() & F.col("form").isin(*ANNUAL_FORMS, *QUARTERLY_FORMS) & F.col("apart").isNull() & ~F.coalesce(agree(F.col("t"), line), F.lit(False))
-    w = w.withColumns({"nc": F.coalesce("apart", line), "kept": kept})
-    if view == "vintage":
-        return w.withColumn("holds_total", F.col("kept"))
-    date = Window.partitionBy("ticker", "end")
-    annual = F.col("form").isin(*ANNUAL_FORMS)
-    kept_date = F.coalesce(F.max(F.col("kept") & annual).over(date), F.lit(False)) & ~F.coalesce(F.max(F.col("apart").isNotNull() & annual).over(date), F.lit(False))
-    return w.withColumn("holds_total", F.col("kept") | kept_date)
+    return w.withColumns({"nc": F.coalesce("apart", line), "kept": kept})
+
+
+def _total_dates(w: DataFrame) -> DataFrame:
+    """(ticker, end) where an annual report's total holds the maturities and none shows the rest apart."""
+    says = w.where(F.col("form").isin(*ANNUAL_FORMS) & (F.col("kept") | F.col("apart").isNotNull()))
+    return says.groupBy("ticker", "end").agg(F.max("kept").alias("total"), F.max(F.col("apart").isNotNull()).alias("parted")).where(F.col("total") & ~F.col("parted")).select("ticker", "end")
 
 
 def _borrowings_hold() -> Column:
@@ -80,18 +86,24 @@ def current_debt_combinations(facts: DataFrame, view: str = "annual") -> tuple[D
     Not where the borrowings hold the maturities. A quarter that does not tell takes the word of the latest year end at
     or before it. For the annual and quarterly records the latest filing of their forms that tells a date decides it.
     """
-    w = _read(facts, view)
+    w = _read(facts)
     parts = sum((F.greatest(_zero(f"p{i}"), F.lit(0.0)) for i in range(len(PARTS))), F.lit(0.0))
     w = w.withColumn("parts", parts)
     own_line = F.coalesce(F.col("sb").isNotNull() & (F.col("parts") > 0) & agree(F.col("sb"), F.col("parts")) & (_maturities() > 0) & (_maturities() != F.col("sb")), F.lit(False)).cast("int")
-    # Read nine times over below.
-    w = as_table(w.withColumn("elsewhere", F.sum(own_line).over(Window.partitionBy("ticker", "accn")) - own_line > 0), "current-debt")
-    held_by_total = w.where(F.col("m1").isNotNull() & F.col("holds_total")).select(*DATED)
+    # Read many times over below, a few columns each.
+    w = as_table(w.withColumn("own_line", own_line), "current-debt")
+    own_lines = w.where("own_line = 1").groupBy("ticker", "accn").agg(F.sum("own_line").alias("own_lines"))
     m = [F.when(F.col(c) > 0, F.col(c)) for c in ("m0", "m1")]
-    d = w.where((F.col("sb") >= 0) & F.col("dc").isNull() & F.coalesce(*m).isNotNull() & ~F.col("holds_total"))
+    held_by_total = w.where(F.col("m1").isNotNull() & F.col("kept")).select(*DATED)
+    d = w.where((F.col("sb") >= 0) & F.col("dc").isNull() & F.coalesce(*m).isNotNull() & ~F.col("kept"))
+    if view != "vintage":
+        dates = _total_dates(w)
+        held_by_total = held_by_total.unionByName(w.where(F.col("m1").isNotNull() & ~F.coalesce("kept", F.lit(False))).select(*DATED).join(dates, ["ticker", "end"], "left_semi").select(*DATED))
+        d = d.join(dates, ["ticker", "end"], "left_anti")
     d = d.withColumns({"hi": F.greatest(*m), "lo": F.least(*m)})
     d = d.withColumn("val", F.when((F.col("lo") != F.col("hi")) & agree(F.col("hi"), F.col("sb") + F.col("lo")), F.col("hi")).otherwise(F.col("sb") + F.col("hi")))
-    d = d.withColumn("held", _borrowings_hold())
+    d = d.join(own_lines, ["ticker", "accn"], "left").withColumn("elsewhere", F.coalesce("own_lines", F.lit(0)) > F.col("own_line"))
+    d = as_table(d.select(*DATED, "form", "filed", "sb", "hi", "val", _borrowings_hold().alias("held")), "current-debt-asked")
     annual = F.col("form").isin(*ANNUAL_FORMS)
 
     ends = w.where(annual & F.col("bs").isNotNull()).select("ticker", F.col("end").alias("y")).distinct()

@@ -1,5 +1,7 @@
 """FCT-10 and FCT-11: current debt in its parts, before a refinancing, and with its paper inside."""
 
+from pyspark.sql import functions as F
+
 from finstrata.operators import current_debt as cd
 from finstrata.plans import standin
 from finstrata.plans.catalog import i_facts as I
@@ -8,12 +10,37 @@ from finstrata.plans.catalog._core import query
 R = standin.RELATIONS
 # Small round figures, so that lines often agree, make one another up or fill the current liabilities.
 _V = "CAST(1000 * (CAST(l_quantity AS INT) % {n}) AS DOUBLE)"
-R["si_f_current"] = " UNION ALL ".join(f"SELECT * FROM ({I._facts(tags, True, val=_V.format(n=n))}) x{i}" for i, (tags, n) in enumerate((
+_SERIES = (
     ((cd.BORROWINGS, cd.MATURITIES[0], cd.MATURITIES[1], cd.APART, cd.OWN_TOTAL, cd.CURRENT, cd.BALANCE_TOTAL), 4),
     ((cd.PAPER, "LinesOfCreditCurrent", cd.TRADE[0], cd.ACCRUED_PAY, cd.TAXES[1], cd.PAYABLES_AND_ACCRUALS, cd.OWN_DEBT_AND_LEASES), 3),
-    ((cd.REFINANCED, cd.BORROWINGS, cd.DEBT, cd.MATURITIES[0], cd.NONCURRENT[0], cd.BORROWINGS, cd.TOTAL), 5))))
+    ((cd.REFINANCED, cd.BORROWINGS, cd.DEBT, cd.MATURITIES[0], cd.NONCURRENT[0], cd.BORROWINGS, cd.TOTAL), 5))
+R["si_f_current"] = " UNION ALL ".join(f"SELECT * FROM ({I._facts(tags, True, val=_V.format(n=n))}) x{i}" for i, (tags, n) in enumerate(_SERIES))
 R["si_f_currentd"] = """SELECT ticker, tag, unit, start, "end", max(val) AS val, accn, form, filed FROM si_f_current GROUP BY ticker, tag, unit, start, "end", accn, form, filed"""
 
+
+def currentd(u):
+    """The rows of ``si_f_currentd``: a line meets its order once and lies by company, order month and shipping year
+    before it becomes three facts; texts are made of the keys once the facts are unique."""
+    tags = list(dict.fromkeys(t for of, _ in _SERIES for t in of))
+    month, year = F.trunc(F.col("o_orderdate").cast("date"), "month"), F.trunc(F.col("l_shipdate").cast("date"), "year")
+    slot = F.when(F.col("l_linenumber").between(1, 7), F.col("l_linenumber")).otherwise(7).cast("int")
+    lines = u.table("lineitem").select("l_orderkey", "l_suppkey", year.alias("y"), slot.alias("slot"), F.col("l_quantity").cast("int").alias("q"))
+    orders = u.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), month.alias("m"))
+    key = ["l_suppkey", "m", "y"]
+    lines = lines.join(orders.hint("shuffle_hash"), "l_orderkey").select(*key, "slot", "q").repartition(*key)
+    literal = lambda values: F.array(*map(F.lit, values))
+    each = lines.select("*", F.explode(literal(range(len(_SERIES)))).alias("i"))
+    tag = F.element_at(literal([tags.index(t) for of, _ in _SERIES for t in of]), F.col("i") * 7 + F.col("slot"))
+    facts = each.groupBy(*key, tag.alias("t")).agg(F.max(F.col("q") % F.element_at(literal([n for _, n in _SERIES]), F.col("i") + 1)).alias("v"))
+    ticker = F.concat(F.lit("S"), "l_suppkey")
+    form = F.when(F.month("m") % 3 == 0, "10-K").when(F.month("m") % 3 == 1, "10-Q").otherwise("10-K/A")
+    return facts.select(ticker.alias("ticker"), F.element_at(literal(tags), F.col("t") + 1).alias("tag"), F.lit("USD").alias("unit"), F.lit(None).cast("date").alias("start"),
+                        F.date_sub(F.add_months("y", 12), 1).alias("end"), (F.col("v") * 1000).cast("double").alias("val"), F.concat(ticker, F.lit("-"), F.col("m").cast("string")).alias("accn"),
+                        form.alias("form"), F.add_months("m", 15).alias("filed"))
+
+
+standin.BUILT["si_f_currentd"] = currentd
+
 _FORMS = {"annual": "('10-K', '10-K/A')", "quarterly": "('10-K', '10-K/A', '10-Q')"}
 _COLS = ", ".join(f"max(val) FILTER (tag = '{t}') AS {n}" for t, n in {**cd._NAMES, cd.REFINANCED: "moved"}.items())
 R["ox_debt"] = f"""SELECT *, coalesce(apart, n) AS nc, t IS NOT NULL AND apart IS NULL AND NOT coalesce({I._agr('t', 'n')}, false) AS kept, form LIKE '10-K%' AS annual,

@@ -84,3 +84,36 @@ def test_facts_of_no_tag_or_date_pass_by(spark):
     f = facts(spark, *at(Y, **{SB: 100, LTC: 60, CP: 40})).union(spark.createDataFrame([("A", None, "USD", None, None, 7.0, None, None, None), (None, CP, "USD", None, None, 8.0, "z", None, None)], FACT))
     for out in (cd.current_debt_combined(f, "annual"), cd.current_debt_set_aside(f, "annual")):
         assert {7.0, 8.0} <= {r["val"] for r in out.collect()}
+
+
+def test_figures_move_narrow_and_a_date_has_its_last_form(spark):
+    f = facts(spark, *at(Y, **{SB: 100, LTC: 60}), (SB, 110, Y, "k", "10-K/A", "2024-03-01"), *at(Y, "k2", "10-Q", **{SB: 5}))
+    dates = cd._by_date(f, cd._NAMES)
+    rows = {r["accn"]: (r["sb"], r["m0"], r["form"], r["filed"].isoformat()) for r in dates.collect()}
+    assert rows == {"k": (110.0, 60.0, "10-K/A", "2024-03-01"), "k2": (5.0, None, "10-Q", "2024-02-01")}
+    plan = dates._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange"):]
+
+
+def test_a_total_of_the_date_holds_another_filings_maturities(spark):
+    total = at(Y, "k1", **{cd.TOTAL: 900})
+    f = facts(spark, *total, *at(Y, "k2", "10-Q", "2024-05-01", **{SB: 40, LTC: 100, cd.MATURITIES[1]: 60}))
+    out = cd.current_debt_combined(f, "quarterly")
+    assert read(out, DC) == {} and read(out, cd.MATURITIES[1]) == {}
+    alone = cd.current_debt_combined(f, "vintage")
+    assert read(alone, DC) == {("k2", Y): 100.0} and read(alone, cd.MATURITIES[1]) == {("k2", Y): 60.0}
+
+
+def test_debt_facts_are_made_as_their_sql_says(spark, tmp_path):
+    from finstrata.plans import standin
+    from finstrata.plans.catalog import n_current_debt
+    day = dt.datetime.fromisoformat
+    orders = [(1, day("1995-03-07")), (2, day("1995-03-30")), (3, None), (4, day("1996-12-31")), (4, day("1996-12-31")), (None, day("1995-01-01"))]
+    lines = [(o, s, n, q, d) for o in (1, 2, 3, 4, None) for s in (7, None) for n in (1, 2, 6, 7, 9, None) for q in (3.0, 17.5, None) for d in (day("1995-12-31"), day("1996-01-01"), None)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    u = standin.Universe(spark, str(tmp_path))
+    made, said = n_current_debt.currentd(u), u.relation("si_f_currentd")
+    assert made.schema.simpleString() == said.schema.simpleString() and made.count() == said.count() > 100
+    assert made.exceptAll(said).isEmpty() and said.exceptAll(made).isEmpty()
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
