@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from finstrata import registry as reg
 from finstrata.operators.facts import PERIOD, agree
 from finstrata.operators.periods import YEAR_DAYS
+from finstrata.session import as_table
 
 # The line that is no total, and amortisation shown beside it.
 DEPRECIATION, AMORTIZATION = "Depreciation", ("AdjustmentForAmortization", "AmortizationOfIntangibleAssets")
@@ -27,7 +28,7 @@ def da_totals_displaced(facts: DataFrame) -> DataFrame:
     t = facts.where(F.col("tag").isin(*TOTALS) & (F.col("unit") == "USD") & F.col("start").isNotNull()).groupBy(*PERIOD, "tag").agg(F.max("val").alias("val"), F.max("filed").alias("filed"))
     rank = F.array_position(F.array(*map(F.lit, TOTALS)), F.col("tag"))
     group = t.groupBy(*PERIOD).agg(F.min("filed").alias("when"), F.count("*").alias("n"), F.collect_set(rank).alias("ranks"))
-    t = t.withColumn("rank", rank).join(group, PERIOD)
+    t = as_table(t.withColumn("rank", rank).join(group, PERIOD), "da-displaced")  # read many times over below
     o = t.select(*PERIOD, F.col("tag").alias("other"), F.col("val").alias("whole"), F.col("rank").alias("other_rank"))
     smaller = (F.col("val") < F.col("whole")) & ~agree(F.col("val"), F.col("whole"))
     beside = t.join(o, PERIOD).where((F.col("tag") != F.col("other")) & smaller)
@@ -51,6 +52,7 @@ def da_totals_displaced(facts: DataFrame) -> DataFrame:
     latest = t.where(~year).groupBy(*span, "tag").agg(F.max_by("accn", F.struct("filed", "accn")).alias("accn"))
     mixed = latest.join(aside.select(*PERIOD, "tag").distinct(), [*PERIOD, "tag"], "left_anti").select("ticker", "tag", "start").distinct().withColumn("mixed", F.lit(True))
     aside = aside.join(mixed, ["ticker", "tag", "start"], "left").where(F.col("mixed").isNull() | year).drop("mixed")
+    aside = as_table(aside, "da-aside")
 
     out = facts.join(aside.select(*PERIOD, "tag").distinct(), [*PERIOD, "tag"], "left_anti")
     copies = facts.withColumnRenamed("tag", "other").join(aside.where(F.col("other").isNotNull()), [*PERIOD, "other"]).select(*facts.columns).distinct()

@@ -22,7 +22,7 @@ from finstrata.operators import facts as fx
 from finstrata.operators import resolve as rs
 from finstrata.operators import split_series as ss
 from finstrata.operators import splits as sp
-from finstrata.session import ensure_checkpoint_dir
+from finstrata.session import as_table
 
 Step = Callable[[DataFrame, str], DataFrame]
 _FACT = ["ticker", "accn", "tag", "unit", "start", "end", "val", "filed", "form"]
@@ -61,9 +61,8 @@ class Family:
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """*df* written to the checkpoint folder: what is read many times over is planned and computed once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """*df* as a table in the checkpoint folder: what is read many times over is planned and computed once."""
+    return as_table(df, "collect")
 
 
 def _after(rule: Step, part: DataFrame, view: str) -> DataFrame:
@@ -90,11 +89,13 @@ FAMILIES = (
 
 def clean_facts(facts: DataFrame, view: str = "annual") -> DataFrame:
     """The facts as the records of *view* (annual, quarterly or vintage) read them."""
-    facts = fx.drop_foreign_filings(facts.select(_FACT))
+    facts = facts.select(_FACT)
+    # Every family asks which filings are foreign; they are told once.
+    facts = facts.join(_settled(fx.foreign_filings(facts)), fx.FILING, "left_anti")
     owned = [t for f in FAMILIES for t in f.owns]
     out = facts.where(~F.col("tag").isin(*owned))
     for family in FAMILIES:
-        part = family.part(facts)
+        part = _settled(family.part(facts))
         for _, rule in family.rules:
             part = _after(rule, part, view)
         out = out.unionByName(part.where(F.col("tag").isin(*family.owns)).select(_FACT))
@@ -121,20 +122,30 @@ def effects(facts: DataFrame, view: str = "annual") -> DataFrame:
 _READ_AS = [*fx.PERIOD, "tag", "field"]
 
 
-def _read(candidates: DataFrame, facts: DataFrame) -> DataFrame:
-    """Candidates that their fields read: no to-common figure its EPS contradicts, no part of a bank's revenue."""
-    contradicted = fx.to_common_contradicted(facts).withColumns({"tag": F.lit(fx.TO_COMMON), "field": F.lit("net_income_to_common")})
-    part = fx.bank_revenue_parts(facts).withColumn("field", F.lit("revenue"))
-    return candidates.join(contradicted.unionByName(part).distinct(), _READ_AS, "left_anti")
+@dataclass(frozen=True)
+class Judged:
+    """What the facts say of figures that records read otherwise, as tables that all records of the facts share."""
+
+    unread: DataFrame
+    revenue: DataFrame
+    common: DataFrame
+
+    @classmethod
+    def of(cls, facts: DataFrame) -> Judged:
+        contradicted = fx.to_common_contradicted(facts).withColumns({"tag": F.lit(fx.TO_COMMON), "field": F.lit("net_income_to_common")})
+        part = fx.bank_revenue_parts(facts).withColumn("field", F.lit("revenue"))
+        common = fx.to_common_set_aside(facts).withColumns({"tag": F.lit(fx.TO_COMMON), "field": F.lit("net_income")})
+        return cls(_settled(contradicted.unionByName(part).distinct()), _settled(fx.revenue_set_aside(facts).withColumn("field", F.lit("revenue"))), _settled(common.select(_READ_AS)))
 
+    def read(self, candidates: DataFrame) -> DataFrame:
+        """Candidates that their fields read: no to-common figure its EPS contradicts, no part of a bank's revenue."""
+        return candidates.join(self.unread, _READ_AS, "left_anti")
 
-def _ranked_last(candidates: DataFrame, facts: DataFrame) -> DataFrame:
-    """Figures that are read after all others: revenue that isn't its year's, net income that isn't to common."""
-    revenue = fx.revenue_set_aside(facts).withColumn("field", F.lit("revenue"))
-    years = candidates.where(F.col("start").isNotNull()).select(*_READ_AS, periods.fiscal_year_of("end").alias("fiscal_year"))
-    revenue = years.join(revenue, [*_YEAR, "tag", "field"]).select(_READ_AS)
-    common = fx.to_common_set_aside(facts).withColumns({"tag": F.lit(fx.TO_COMMON), "field": F.lit("net_income")})
-    return revenue.unionByName(common.select(_READ_AS)).distinct()
+    def ranked_last(self, candidates: DataFrame) -> DataFrame:
+        """Figures that are read after all others: revenue that isn't its year's, net income that isn't to common."""
+        years = candidates.where(F.col("start").isNotNull()).select(*_READ_AS, periods.fiscal_year_of("end").alias("fiscal_year"))
+        revenue = years.join(self.revenue, [*_YEAR, "tag", "field"]).select(_READ_AS)
+        return _settled(revenue.unionByName(self.common).distinct())
 
 
 def _cleaned(wide: DataFrame, order: str) -> DataFrame:
@@ -142,13 +153,13 @@ def _cleaned(wide: DataFrame, order: str) -> DataFrame:
     return periods.derive_identities(ss.normalize_share_scale(_settled(wide), order).drop("rescaled"), F.col("source_tags")["total_equity"])
 
 
-def _annual_long(clean: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _annual_long(clean: DataFrame, registry: DataFrame, judged: Judged) -> tuple[DataFrame, DataFrame]:
     """The long annual record, tagging errors put right, and the years' ends."""
     ends = _settled(rs.year_ends(clean, registry))
-    read = _read(rs.annual_candidates(clean, registry), clean)
+    read = judged.read(rs.annual_candidates(clean, registry))
     own = _settled(read.join(ends, _YEAR).where(F.abs(F.datediff("end", "year_end")) <= rs.SAME_PERIOD_DAYS))
-    long = _settled(rs.resolve_canonical(own, _YEAR, _ranked_last(own, clean)))
-    return _settled(rs.restore_agreed_figures(long, clean, registry)), ends
+    long = _settled(rs.resolve_canonical(own, _YEAR, judged.ranked_last(own), few=True))
+    return _settled(rs.restore_agreed_figures(long, clean, registry, ends)), ends
 
 
 def annual_record(facts: DataFrame, registry: DataFrame, fields: Sequence[str] | None = None, clean: DataFrame | None = None) -> DataFrame:
@@ -158,7 +169,8 @@ def annual_record(facts: DataFrame, registry: DataFrame, fields: Sequence[str] |
     *clean*, here and below: :func:`clean_facts` of the view as a stored table, which spares planning it for every use.
     """
     fields = list(fields or reg.FIELDS)
-    long, ends = _annual_long(clean_facts(facts, "annual") if clean is None else clean, registry)
+    clean = clean_facts(facts, "annual") if clean is None else clean
+    long, ends = _annual_long(clean, registry, Judged.of(clean))
     wide = rs.to_wide(long, _YEAR, fields)
     repaired = long.where(F.col("repair").isNotNull()).groupBy(*_YEAR).agg(F.array_sort(F.collect_list("field")).alias("repaired"))
     wide = wide.join(ends.withColumnRenamed("year_end", "period_end"), _YEAR).join(repaired, _YEAR, "left")
@@ -174,10 +186,11 @@ def vintage_views(facts: DataFrame, registry: DataFrame, fields: Sequence[str] |
     """
     fields = list(fields or reg.FIELDS)
     clean = clean_facts(facts, "vintage") if clean is None else clean
-    read = _read(rs.annual_candidates(clean, registry), clean)
+    judged = Judged.of(clean)
+    read = judged.read(rs.annual_candidates(clean, registry))
     own = _settled(read.join(rs.year_ends_by_filing(clean, registry), [*_YEAR, "filed"]).where(F.abs(F.datediff("end", "year_end")) <= rs.SAME_PERIOD_DAYS))
     keys = [*_YEAR, "filing", "year_end"]
-    long = rs.resolve_canonical(own.withColumn("filing", F.col("accn")), keys, _ranked_last(own, clean))
+    long = rs.resolve_canonical(own.withColumn("filing", F.col("accn")), keys, judged.ranked_last(own), few=True)
     views = rs.to_wide(_settled(long), keys, fields).where(F.col("year_end") <= F.col("filed_date"))
     days = views.select(*_YEAR, F.col("filed_date").alias("day")).distinct()
     known = views.join(days, _YEAR).where(F.col("filed_date") <= F.col("day"))
@@ -207,11 +220,12 @@ def quarterly_record(facts: DataFrame, registry: DataFrame, fields: Sequence[str
     """
     fields = list(fields or reg.FIELDS)
     clean = clean_facts(facts, "quarterly") if clean is None else clean
-    long_annual, ends = _annual_long(clean, registry)
+    judged = Judged.of(clean)
+    long_annual, ends = _annual_long(clean, registry, judged)
     put_back = long_annual.where(F.col("repair").isNotNull()).join(ends, _YEAR).select("ticker", "field", F.col("year_end").alias("e"), F.col("val").alias("kept"))
-    filed = _settled(_read(rs.candidates(clean.where(F.col("form").isin(*reg.QUARTERLY_FORMS)), registry), clean))
+    filed = _settled(judged.read(rs.candidates(clean.where(F.col("form").isin(*reg.QUARTERLY_FORMS)), registry)))
     flows = filed.where(F.col("kind") == "duration").withColumns({"s": F.col("start"), "e": F.col("end")})
-    won = rs.resolve_canonical(flows, ["ticker", "s", "e"], _ranked_last(filed, clean))
+    won = rs.resolve_canonical(flows, ["ticker", "s", "e"], judged.ranked_last(filed), few=True)
     # a year's figure that the annual record puts back is read the same here
     year = F.datediff("e", "s") >= periods.YEAR_DAYS[0]
     won = won.join(put_back, ["ticker", "field", "e"], "left").withColumn("val", F.when(year, F.coalesce("kept", "val")).otherwise(F.col("val")))
@@ -220,19 +234,22 @@ def quarterly_record(facts: DataFrame, registry: DataFrame, fields: Sequence[str
     moved = ladders.rungs_on_year_basis(rungs.where(F.col("field").isin(*_COUNTS, *_PER_SHARE)).withColumn("is_count", F.col("field").isin(*_COUNTS)), restated)
     rungs = _settled(rungs.where(~F.col("field").isin(*_COUNTS, *_PER_SHARE)).unionByName(moved.select(*rungs.columns)))
     rungs = _settled(_scaled_counts(rungs))
-    instants = rs.resolve_canonical(filed.where(F.col("kind") == "instant").withColumn("period_end", F.col("end")), ["ticker", "period_end"])
+    instants = rs.resolve_canonical(filed.where(F.col("kind") == "instant").withColumn("period_end", F.col("end")), ["ticker", "period_end"], few=True)
     instants = _settled(instants).join(put_back.withColumnRenamed("e", "period_end"), ["ticker", "field", "period_end"], "left").withColumn("val", F.coalesce("kept", "val"))
     counts = instants.where(F.col("field").isin(*_COUNTS)).withColumn("fiscal_year", periods.fiscal_year_of("period_end")).select("ticker", "field", "fiscal_year", F.col("period_end").alias("end"), "filed", "val", "tag")
     counts = ladders.instants_on_year_basis(counts, restated).select("ticker", "field", F.col("end").alias("period_end"), "val", "tag")
     points = instants.where(~F.col("field").isin(*_COUNTS)).select("ticker", "field", "period_end", "val", "tag").unionByName(counts)
+    points = _settled(points)
     single = rs.quarters_of(rs.discrete_quarters(rungs, registry), points).select("ticker", "field", "period_end", F.col("value").alias("val"), F.lit(None).cast("string").alias("tag"))
     long = _settled(points.unionByName(single))
-    wide = long.groupBy("ticker", "period_end").pivot("field", fields).agg(F.max("val"))
-    tags = long.where(F.col("tag").isNotNull()).groupBy("ticker", "period_end").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "tag")))).alias("source_tags"))
+    tags = F.collect_set(F.when(F.col("tag").isNotNull(), F.struct("field", "tag")))
+    wide = long.repartition("ticker", "period_end").groupBy("ticker", "period_end").agg(*[F.max(F.when(F.col("field") == f, F.col("val"))).alias(f) for f in fields], tags.alias("__tags"))
+    told = (F.size("__tags") > 0) & F.col("ticker").isNotNull() & F.col("period_end").isNotNull()
+    wide = wide.withColumn("source_tags", F.when(told, F.map_from_entries(F.array_sort("__tags")))).drop("__tags")
     ladder = rs.ladder_year(rungs).join(rungs.select("ticker", "start", F.col("end").alias("period_end")).distinct(), ["ticker", "start"])
     of = F.struct(F.datediff("period_end", "start"), F.col("start"))  # the longest period to date that ends there
     labels = ladder.groupBy("ticker", "period_end").agg(F.max_by("fiscal_year", of).alias("fiscal_year"), F.max_by(F.round(F.datediff("period_end", "start") / 91.3).cast("int"), of).alias("fiscal_quarter"))
-    wide = wide.join(tags, ["ticker", "period_end"], "left").join(labels, ["ticker", "period_end"], "left")
+    wide = wide.join(labels, ["ticker", "period_end"], "left")
     wide = _settled(wide)
     debt = long_annual.where(F.col("field") == "long_term_debt").join(ends, _YEAR).select("ticker", F.col("year_end").alias("period_end"), F.col("val").alias("long_term_debt"), "tag")
     lines = ladders.quarter_debt_lines(clean, debt, wide).select("ticker", "period_end", F.col("long_term_debt").alias("line"))
