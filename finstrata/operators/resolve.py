@@ -153,7 +153,7 @@ def discrete_quarters(ladder: DataFrame, registry: DataFrame) -> DataFrame:
 def quarters_of(quarters: DataFrame, periods: DataFrame) -> DataFrame:
     """Keeps a lone first-quarter figure only where the period has a balance sheet (*periods*: ticker, period_end)."""
     seen = periods.select("ticker", "period_end", F.lit(True).alias("__seen")).distinct()
-    return quarters.join(seen, ["ticker", "period_end"], "left").where(~F.col("lone") | F.col("__seen")).select(*[c for c in quarters.columns if c != "lone"])
+    return quarters.join(seen, ["ticker", "period_end"], "left").where(F.when(F.col("lone"), F.col("__seen")).otherwise(~F.col("lone"))).select(*[c for c in quarters.columns if c != "lone"])
 
 
 def ladder_year(ladder: DataFrame) -> DataFrame:
