@@ -6,12 +6,12 @@ passes through the driver.
 
 from __future__ import annotations
 
-import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,47 +47,80 @@ _ROWS = 20_000
 # Namespaces whose concepts are standard taxonomies.
 _TAXONOMY = re.compile(r"^https?://(?:fasb\.org|xbrl\.sec\.gov|xbrl\.ifrs\.org/taxonomy)/(?:\d{4}-\d{2}-\d{2}/)?([a-z-]+)")
 _X = "{http://www.xbrl.org/2003/instance}"
+_CONTEXT, _UNIT, _ENTITY, _SEGMENT, _SCENARIO, _PERIOD, _IDENTIFIER, _MEASURE = (
+    _X + n for n in ("context", "unit", "entity", "segment", "scenario", "period", "identifier", "measure"))
+#: What a filing says of its fiscal year and period, under whatever context.
+_FOCUS = ("DocumentFiscalYearFocus", "DocumentFiscalPeriodFocus")
+
+
+@lru_cache(1 << 16)
+def _standard(tag: str) -> tuple[str, str] | None:
+    """Taxonomy and concept of an element's tag, if it is one of a standard taxonomy."""
+    if tag[0] != "{":
+        return None
+    uri, concept = tag[1:].split("}", 1)
+    found = _TAXONOMY.match(uri)
+    return (found.group(1), concept) if found else None
+
+
+def _period_date(periods: list[ET.Element], name: str) -> str | None:
+    for p in periods:
+        found = p.find(_X + name)
+        if found is not None:
+            return (found.text or "").strip()[:10] or None
+    return None
 
 
 def _instance_rows(accn: str, filer: str | None, content: bytes) -> Iterator[tuple]:
-    """The facts of one instance, each with every context and unit of its own that it names; Nones where it has none."""
+    """The facts of one instance, each with every context and unit of its own that it names; of the focus also without.
+
+    Others need a context without dimensions that ends, and a unit.
+    """
     local = lambda t: (t or "").strip().rsplit(":", 1)[-1]
     contexts: dict[str | None, list[tuple]] = {}
     units: dict[str | None, list[str]] = {}
     facts = []
-    for _, el in ET.iterparse(io.BytesIO(content)):
-        if el.tag == _X + "context":
-            who = el.find(_X + "entity")
-            date = lambda n: (el.findtext(f"{_X}period/{_X}{n}") or "").strip()[:10] or None
-            dim = who is None or who.find(_X + "segment") is not None or el.find(_X + "scenario") is not None
-            contexts.setdefault(el.get("id"), []).append((date("startDate"), date("instant") or date("endDate"),
-                                                          ((who.findtext(_X + "identifier") if who is not None else None) or "").strip(), dim))
-        elif el.tag == _X + "unit":
+    for el in ET.fromstring(content).iter():
+        if el.tag == _CONTEXT:
+            who, periods = el.find(_ENTITY), el.findall(_PERIOD)
+            dim = who is None or who.find(_SEGMENT) is not None or el.find(_SCENARIO) is not None
+            contexts.setdefault(el.get("id"), []).append((_period_date(periods, "startDate"), _period_date(periods, "instant") or _period_date(periods, "endDate"),
+                                                          ((who.findtext(_IDENTIFIER) if who is not None else None) or "").strip(), dim))
+        elif el.tag == _UNIT:
             over = el.find(_X + "divide")
             sides = [over.find(_X + "unitNumerator"), over.find(_X + "unitDenominator")] if over is not None else [el]
-            units.setdefault(el.get("id"), []).append("/".join("*".join(local(m.text) for m in s.iter(_X + "measure")) for s in sides if s is not None))
-        elif el.get("contextRef") is not None and el.tag[0] == "{":
-            uri, concept = el.tag[1:].split("}", 1)
-            found = _TAXONOMY.match(uri)
-            if found and (el.get("unitRef") is not None or found.group(1) == "dei"):
-                facts.append((found.group(1), concept, el.get("contextRef"), el.get("unitRef"), el.text, el.get("decimals")))
+            units.setdefault(el.get("id"), []).append("/".join("*".join(local(m.text) for m in s.iter(_MEASURE)) for s in sides if s is not None))
+        elif el.get("contextRef") is not None:
+            found = _standard(el.tag)
+            if found and (el.get("unitRef") is not None or found[0] == "dei"):
+                facts.append((*found, el.get("contextRef"), el.get("unitRef"), el.text, el.get("decimals")))
     units.pop(None, None)
     for taxonomy, concept, context, unit, text, decimals in facts:
+        focus = taxonomy == "dei" and concept in _FOCUS
         for where in contexts.get(context, [(None, None, None, None)]):
-            for name in units.get(unit, [None]):
-                yield (accn, filer, taxonomy, concept, *where, name, text, decimals)
+            if focus or (where[3] is False and where[1]):
+                for name in units.get(unit, [None]):
+                    if focus or name:
+                        yield (accn, filer, taxonomy, concept, *where, name, text, decimals)
+
+
+def _parse_instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [c.split() for c in _RAW.split(", ")]
+    schema = pa.schema([(n, pa.bool_() if t == "boolean" else pa.string()) for n, t in fields])
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def _parse_instances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in _RAW.split(", ")]
-    for pdf in batches:
-        rows: list[tuple] = []
-        for accn, filer, content in zip(pdf["accn"], pdf["filer"], pdf["content"]):
-            rows.extend(_instance_rows(accn, filer, content if isinstance(content, bytes) else content.encode()))
+    rows: list[tuple] = []
+    for batch in batches:
+        for accn, filer, content in zip(*(batch.column(n) for n in ("accn", "filer", "content")), strict=True):
+            content = content.as_py()
+            rows.extend(_instance_rows(accn.as_py(), filer.as_py(), content if isinstance(content, bytes) else content.encode()))
             if len(rows) >= _ROWS:
-                yield pd.DataFrame(rows, columns=names, dtype="object")
+                yield packed(rows)
                 rows = []
-        yield pd.DataFrame(rows, columns=names, dtype="object")
+    if rows:
+        yield packed(rows)
 
 
 def frame_of(start: Column, end: Column) -> Column:
@@ -108,12 +141,12 @@ def parse_xbrl_instances(docs: DataFrame) -> DataFrame:
     about = docs.select("accn", "ticker", "form", "filed")
     number = F.col("cik").try_cast("bigint")
     plain = ~F.col("dimensional") & F.col("end").isNotNull() & (number.isNull() | (number == F.col("filer").cast("bigint")))
-    facts = docs.where(F.col("accn").isNotNull()).select("accn", filer.cast("string").alias("filer"), "content").mapInPandas(_parse_instances, _RAW)
+    facts = docs.where(F.col("accn").isNotNull()).select("accn", filer.cast("string").alias("filer"), "content").mapInArrow(_parse_instances, _RAW)
     facts = as_table(facts.withColumn("__plain", F.when(plain, 1)), "xbrl-facts")
-    focus = facts.where((F.col("taxonomy") == "dei") & F.col("concept").isin("DocumentFiscalYearFocus", "DocumentFiscalPeriodFocus"))
+    focus = facts.where((F.col("taxonomy") == "dei") & F.col("concept").isin(*_FOCUS))
     order = F.struct(F.coalesce("__plain", F.lit(0)), F.trim("text"))
     focus = focus.groupBy("accn").agg(*[F.max_by(F.trim("text"), F.when((F.col("concept") == c) & (F.trim("text") != ""), order)).alias(n)
-                                        for c, n in (("DocumentFiscalYearFocus", "fy"), ("DocumentFiscalPeriodFocus", "fp"))])
+                                        for c, n in zip(_FOCUS, ("fy", "fp"), strict=True)])
     val = F.round(F.trim("text").try_cast("decimal(38,10)"), 6).cast("double")
     d = F.upper(F.trim("decimals"))
     precision = F.when(d.isNull() | (d == "INF"), 1e9).otherwise(F.coalesce(d.try_cast("double"), F.lit(-1e9)))

@@ -35,3 +35,11 @@ def test_contexts_and_units_belong_to_their_filing(spark):
     b = context("c", 77, "2023-12-31") + context("gone", 77) + UNIT + fact("c", 3)
     rows = filings.parse_xbrl_instances(docs(spark, a=a, b=b)).collect()
     assert sorted((r["accn"], r["end"].isoformat(), r["val"], r["fy"]) for r in rows) == [("a", "2024-12-31", 6.0, 2024), ("b", "2023-12-31", 3.0, None)]
+
+
+def test_facts_that_cannot_stay_are_not_written(spark):
+    whole = context("c", 77) + context("d", 77, segment="<xbrli:segment/>") + context("e", 77, "") + UNIT + '<xbrli:unit id="v"/>'
+    body = whole + fact("c", 5) + fact("d", 9) + fact("e", 8) + fact("gone", 7) + fact("c", 4, unit=' unitRef="v"') + fact("c", 3, unit=' unitRef="none"')
+    body += fact("d", 2024, "dei:DocumentFiscalYearFocus", "") + fact("gone", "FY", "dei:DocumentFiscalPeriodFocus", "") + fact("c", 1, "dei:Other", "")
+    rows = list(filings._instance_rows("a", "77", (HEAD + body + "</xbrli:xbrl>").encode()))
+    assert [(r[3], r[9]) for r in rows] == [("Assets", "5"), ("DocumentFiscalYearFocus", "2024"), ("DocumentFiscalPeriodFocus", "FY")]
